@@ -89,7 +89,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     cut = written(cut, "thresholds")
     key, cuts, tier = fresh(docs, "__key"), fresh(docs, "__cuts"), fresh(docs, "__tier")
     cut = few(cut.select(F.col("source").alias(key), F.col("cuts").alias(cuts)), cut.count())
-    joined = docs.join(cut, _source(source_col) == F.col(key)).withColumn(tier, F.expr(f"filter({cuts}, c -> c.threshold > {hash48_sql(id_col)})[0].tier")).where(F.col(tier).isNotNull())
+    joined = docs.join(cut, _source(source_col) == F.col(key)).withColumn(tier, F.expr(f"get(filter({cuts}, c -> c.threshold > {hash48_sql(id_col)}), 0).tier")).where(F.col(tier).isNotNull())
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(tier).alias(tier_name)] if tier_name else []))
 
 
