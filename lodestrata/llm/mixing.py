@@ -31,7 +31,6 @@ DEFAULT_WEIGHT = 1
 #: The total as percent of the corpus's tokens, and the nested tiers as percent of it.
 TOTAL_PERCENT = 50
 TIERS: Sequence[int] = (25, 50, 100)
-#: As the pipeline uses it: the whole mix in one tier, at most this percent of what came in.
 SEED = 17
 STEP, LEVELS = 12, 4
 

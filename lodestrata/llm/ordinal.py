@@ -196,7 +196,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", grade: int = G
     return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(held)["expected"].alias(names[0]), F.col(held)["tail"].alias(names[1]))
 
 
+def selected(docs: DataFrame, model: Model, text_col: str = "text", grade: int = GRADE, tail: float = TAIL, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """The rows of *docs* whose probability of *grade* or better is *tail* or more, with their scores."""
+    return scored(docs, model, text_col, grade, names).where(F.col(names[1]) >= tail)
+
+
 def select_documents(docs: DataFrame, model: Model, text_col: str = "text", grade: int = GRADE, tail: float = TAIL) -> DataFrame:
-    """The rows of *docs* whose probability of *grade* or better is *tail* or more."""
+    """The same rows without their scores."""
     names = (fresh(docs, "__expected"), fresh(docs, "__tail"))
-    return scored(docs, model, text_col, grade, names).where(F.col(names[1]) >= tail).drop(*names)
+    return selected(docs, model, text_col, grade, tail, names).drop(*names)
