@@ -1,14 +1,16 @@
 """Quality classifier: a cumulative-link regression on graded ratings.
 
-A document's hashed features (words; byte trigrams, which see case and
-punctuation; and one for a word that repeats the word before it) share one
-weight vector; the grade k is reached with probability
-sigmoid(score - threshold_k), where the thresholds are ordered by construction.
-The expected grade is the sum of these tail probabilities.
+A document's hashed features share one weight vector; the grade k is reached
+with probability sigmoid(score - threshold_k), where the thresholds are ordered
+by construction. The expected grade is the sum of these tail probabilities.
+Features are the stems (first STEM bytes) of its words, each present or not;
+its byte trigrams, which see case and punctuation, by frequency; and the share of
+words that repeat the word before.
 
 Grades come from the labels: 0 for poor quality, 1 for acceptable but toxic, 2
 for good. The fit takes at most *per_grade* labelled documents of each grade,
-those whose ids hash lowest, and is the same on every run.
+those whose ids hash lowest, leaves out features of fewer than MIN_DOCS of them,
+and is the same on every run.
 
 Defined results: a null text counts as empty; an empty text has no features and
 score 0. Labels with a null id or quality are left out, a null toxic counts as
@@ -29,19 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, text_slices
-from .vec import U, bags, words
+from .vec import U, WORD, bags, doc_of, run_hashes, runs
 
-WORD_BITS = 16
+STEM = 4
+STEM_BITS = 18
 GRAM_BITS = 14
-ECHO = (1 << WORD_BITS) + (1 << GRAM_BITS)
+ECHO = (1 << STEM_BITS) + (1 << GRAM_BITS)
 SIZE = ECHO + 1
 #: Labelled documents of each grade that the fit takes at most.
-PER_GRADE = 800
+PER_GRADE = 2000
+MIN_DOCS = 10
 GRADES = 3
 #: Least grade and its least probability for a document to be selected.
-GRADE, TAIL = 1, 0.5
-#: Weight of a text's mean trigram against its words.
-GRAM_SCALE = 20.0
+GRADE, TAIL = 2, 0.4
+#: Weight of a present stem, and of a share of trigrams or repeated words.
+STEM_SCALE, SHARE_SCALE = 0.5, 20.0
 
 
 @dataclass(frozen=True)
@@ -76,48 +80,55 @@ def _echoes(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc[1:][same], minlength=n_docs) / np.maximum(np.bincount(doc, minlength=n_docs), 1)
 
 
+def _stems(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket) of each text's distinct stems, and each text's share of repeated words."""
+    starts, ends = runs(data, offsets, WORD)
+    doc = doc_of(starts, offsets)
+    echo = _echoes(run_hashes(data, starts, ends), doc, len(offsets) - 1)
+    doc, bucket, _ = bags(run_hashes(data, starts, np.minimum(ends, starts + STEM)), doc, STEM_BITS)
+    return doc, bucket.astype(np.int64), echo
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature, value), distinct features of each text."""
     n_docs = len(offsets) - 1
-    h, wd = words(data, offsets)
+    sd, stem, echo = _stems(data, offsets)
     g, whole = _grams(data, offsets)
-    n_words = np.maximum(np.bincount(wd, minlength=n_docs), 1)
     n_grams = np.maximum(np.diff(offsets) - 2, 1)
     gd = np.repeat(np.arange(n_docs), np.diff(offsets))[: len(g)][whole]
-    bucket = np.concatenate([h >> U(64 - WORD_BITS), g[whole].astype(U) + U(1 << WORD_BITS)])
-    doc = np.concatenate([wd, gd])
-    doc, bucket, count = bags(bucket << U(40), doc, 24)
-    bucket = bucket.astype(np.int64)
-    value = np.where(bucket < 1 << WORD_BITS, count / np.sqrt(n_words)[doc], GRAM_SCALE * count / n_grams[doc])
-    echo = _echoes(h, wd, n_docs)
+    gd, gram, count = bags(g[whole].astype(U) << U(64 - GRAM_BITS), gd, GRAM_BITS)
     some = np.flatnonzero(echo)
-    doc, bucket, value = np.append(doc, some), np.append(bucket, np.full(len(some), ECHO)), np.append(value, GRAM_SCALE * echo[some])
+    doc = np.concatenate([sd, gd, some])
+    bucket = np.concatenate([stem, gram.astype(np.int64) + (1 << STEM_BITS), np.full(len(some), ECHO)])
+    value = np.concatenate([np.full(len(sd), STEM_SCALE), SHARE_SCALE * count / n_grams[gd], SHARE_SCALE * echo[some]])
     order = np.argsort(doc, kind="stable")
     return doc[order], bucket[order], value[order].astype(np.float32)
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The same linear score without the features being sorted."""
+    """The linear score of the same features."""
     n_docs = len(offsets) - 1
-    h, wd = words(data, offsets)
-    n_words = np.maximum(np.bincount(wd, minlength=n_docs), 1)
-    out = np.bincount(wd, weights=weights[(h >> U(64 - WORD_BITS)).astype(np.int64)], minlength=n_docs) / np.sqrt(n_words)
+    doc, stem, echo = _stems(data, offsets)
+    out = STEM_SCALE * np.bincount(doc, weights=weights[stem], minlength=n_docs)
     g, whole = _grams(data, offsets)
     if len(g):
-        w = weights[1 << WORD_BITS : ECHO][g]
+        w = weights[1 << STEM_BITS : ECHO][g]
         w[~whole] = 0
         sums = np.append(0, np.cumsum(w))
         ends = np.minimum(offsets, len(g))
-        out += GRAM_SCALE * (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(offsets) - 2, 1)
-    return out + GRAM_SCALE * weights[ECHO] * _echoes(h, wd, n_docs)
+        out += SHARE_SCALE * (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(np.diff(offsets) - 2, 1)
+    return out + SHARE_SCALE * weights[ECHO] * echo
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, size: int = SIZE, grades: int = GRADES, steps: int = 150, l2: float = 2e-4, rate: float = 0.05) -> Model:
+def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, size: int = SIZE, grades: int = GRADES, steps: int = 400, l2: float = 5e-4, rate: float = 0.05, min_docs: int = MIN_DOCS) -> Model:
     """Maximum likelihood with every grade weighing the same, by Adam on all rows."""
     n = len(grade)
     if not n:
         return Model(np.zeros(size), np.linspace(-40, -39, grades - 1))
-    used, at = np.unique(cols, return_inverse=True)
+    used, at, docs = np.unique(cols, return_inverse=True, return_counts=True)
+    often = docs[at] >= min_docs
+    rows, at, values = rows[often], (np.cumsum(docs >= min_docs) - 1)[at[often]], values[often]
+    used = used[docs >= min_docs]
     w, theta = np.zeros(len(used)), np.append(-1.0, np.zeros(grades - 2))
     weight = (1 / np.maximum(np.bincount(grade, minlength=grades), 1))[grade]
     weight /= weight.sum()
