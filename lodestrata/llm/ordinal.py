@@ -39,11 +39,11 @@ GRAM_BITS = 14
 ECHO = (1 << STEM_BITS) + (1 << GRAM_BITS)
 SIZE = ECHO + 1
 #: Labelled documents of each grade that the fit takes at most.
-PER_GRADE = 2000
+PER_GRADE = 1500
 MIN_DOCS = 10
 GRADES = 3
 #: Least grade and its least probability for a document to be selected.
-GRADE, TAIL = 2, 0.4
+GRADE, TAIL = 2, 0.35
 #: Weight of a present stem, and of a share of trigrams or repeated words.
 STEM_SCALE, SHARE_SCALE = 0.5, 20.0
 
@@ -120,31 +120,40 @@ def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nda
     return out + SHARE_SCALE * weights[ECHO] * echo
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, size: int = SIZE, grades: int = GRADES, steps: int = 400, l2: float = 5e-4, rate: float = 0.05, min_docs: int = MIN_DOCS) -> Model:
-    """Maximum likelihood with every grade weighing the same, by Adam on all rows."""
+def fit(sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, size: int = SIZE, grades: int = GRADES, steps: int = 400, l2: float = 5e-4, rate: float = 0.05, min_docs: int = MIN_DOCS) -> Model:
+    """Maximum likelihood with every grade weighing the same, by Adam on all rows: *sizes* features of each document in turn."""
     n = len(grade)
     if not n:
         return Model(np.zeros(size), np.linspace(-40, -39, grades - 1))
-    used, at, docs = np.unique(cols, return_inverse=True, return_counts=True)
-    often = docs[at] >= min_docs
-    rows, at, values = rows[often], (np.cumsum(docs >= min_docs) - 1)[at[often]], values[often]
-    used = used[docs >= min_docs]
+    often = np.bincount(cols, minlength=size) >= min_docs
+    used = np.flatnonzero(often)
+    kept = often[cols]
+    ends = np.append(0, np.cumsum(kept))[np.append(0, np.cumsum(sizes))]
+    at, values = (np.cumsum(often) - 1)[cols[kept]], values[kept]
+    del cols, kept
+    counts, some = np.diff(ends), np.diff(ends) > 0
+    starts = ends[:-1][some]
     w, theta = np.zeros(len(used)), np.append(-1.0, np.zeros(grades - 2))
     weight = (1 / np.maximum(np.bincount(grade, minlength=grades), 1))[grade]
     weight /= weight.sum()
     moment, square = np.zeros(len(w) + len(theta)), np.zeros(len(w) + len(theta))
+    i = np.arange(n)
     for step in range(1, steps + 1):
-        score = np.bincount(rows, weights=w[at] * values, minlength=n)
+        score = np.zeros(n)
+        if len(starts):
+            product = w[at]
+            product *= values
+            score[some] = np.add.reduceat(product, starts)
         cut = np.cumsum(np.append(theta[0], np.exp(theta[1:])))
         tail = np.column_stack([np.ones(n), 1 / (1 + np.exp(-np.clip(score[:, None] - cut, -50, 50))), np.zeros(n)])
         slope = tail * (1 - tail)
-        i = np.arange(n)
         p = np.maximum(tail[i, grade] - tail[i, grade + 1], 1e-9)
         up, down = weight * slope[i, grade] / p, weight * slope[i, grade + 1] / p
-        d_score = down - up
         d_cut = np.array([up[grade == k].sum() - down[grade + 1 == k].sum() for k in range(1, grades)])
         d_theta = np.array([d_cut.sum(), *(np.exp(theta[j]) * d_cut[j:].sum() + 1e-3 * theta[j] for j in range(1, grades - 1))])
-        grad = np.append(np.bincount(at, weights=d_score[rows] * values, minlength=len(w)) + l2 * w, d_theta)
+        product = np.repeat(down - up, counts)
+        product *= values
+        grad = np.append(np.bincount(at, weights=product, minlength=len(w)) + l2 * w, d_theta)
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
         move = rate * moment / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
@@ -186,11 +195,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most *per_grade* labelled documents of each grade."""
     chosen = F.broadcast(sample(graded(labels), per_grade, GRADES, "grade"))  # 3 * per_grade rows at most
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    got = texts.mapInArrow(_feature_rows, "id long, grade int, cols binary, vals binary").toPandas().sort_values(["id", "cols"]).drop_duplicates("id")
-    cols = [np.frombuffer(x, np.int32) for x in got["cols"]]
-    rows = np.repeat(np.arange(len(cols)), [len(x) for x in cols]) if cols else np.zeros(0, np.int64)
-    values = np.concatenate([np.frombuffer(x, np.float32) for x in got["vals"]]) if cols else np.zeros(0)
-    return fit(rows, np.concatenate(cols) if cols else np.zeros(0, np.int64), values, got["grade"].to_numpy(np.int64))
+    got = texts.mapInArrow(_feature_rows, "id long, grade int, cols binary, vals binary").toArrow()
+    best: dict[int, int] = {}  # of rows that repeat an id, the one whose features sort first
+    ids, cols = got.column("id").to_pylist(), got.column("cols").to_pylist()
+    for i, x in enumerate(ids):
+        if x not in best or cols[i] < cols[best[x]]:
+            best[x] = i
+    order = [best[x] for x in sorted(best)]
+    sizes = np.array([len(cols[i]) // 4 for i in order], np.int64)
+    joined = np.frombuffer(b"".join(cols[i] for i in order), np.int32)
+    del cols
+    vals = got.column("vals")
+    values = np.frombuffer(b"".join(vals[i].as_py() for i in order), np.float32)
+    grade = got.column("grade").to_numpy()[order].astype(np.int64) if order else np.zeros(0, np.int64)
+    return fit(sizes, joined, values, grade)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", grade: int = GRADE, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
