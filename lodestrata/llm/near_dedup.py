@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, lower_text, text_slices, written
+from .common import few, fresh, lower_text, text_slices, written
 from .components import components
 from .vec import U, _GOLD, bags, mix, shingles, words
 
@@ -219,7 +219,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """*docs* without the duplicates; of rows that repeat an id all stay or go."""
-    gone = near_duplicates(docs, id_col, **kw)
-    n = gone.count()
-    gone = few(gone.select(F.col("doc_id").alias("__gone")), n)
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone, key = near_duplicates(docs, id_col, **kw), fresh(docs, "__gone")
+    gone = few(gone.select(F.col("doc_id").alias(key)), gone.count())
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
