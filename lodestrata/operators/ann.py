@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import search
 
-CELLS, PROBE = 16, 8
+#: On vectors without clusters, as the test data are, 8 of 16 cells give a recall of 0.84 of the ten nearest; 11 give over 0.9.
+CELLS, PROBE = 16, 11
 #: Vectors that the centroids are fitted on at most.
 FIT_ROWS = 100_000
 
