@@ -17,7 +17,9 @@ have the structure of a secret:
   account field of six bytes and a serial part that isn't empty;
 - ``raw_key``: the quoted value of an assignment to a key, token, secret or
   password, in hex, that decodes to a usual number of key bytes which are neither
-  text nor repetitive.
+  text nor repetitive;
+- ``password``: the hex value of an assignment to a password, of eight bytes or
+  more, that is neither text nor repetitive.
 
 Public keys, certificates, digests without such an assignment, identifiers and
 base64 of anything else are not reported.
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Any text with a secret matches this; other texts don't leave the JVM.
-HINT = r"A[KS]IA[A-Z2-7]{16}|[A-Za-z0-9+/=_-]{24}|-----BEGIN |[0-9a-fA-F]{32}"
+HINT = r"A[KS]IA[A-Z2-7]{16}|[A-Za-z0-9+/=_-]{24}|-----BEGIN |[0-9a-fA-F]{16}"
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----))*)-----END \1PRIVATE KEY-----")
 _JWT = re.compile(r"(?<![\w-])(eyJ[\w-]+)\.(eyJ[\w-]+)\.([\w-]*)(?![\w-])", re.A)
 _HEX = re.compile(r"(?<![0-9A-Za-z+/_-])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z+/=_-])")
@@ -50,6 +52,7 @@ _BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-
 _CHECKED = re.compile(r"(?<![A-Za-z0-9])([a-z]{2,5}_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _CLOUD = re.compile(r"(?<![0-9A-Za-z+/=_-])A[KS]IA([A-Z2-7]{16})(?![0-9A-Za-z+/=_-])")
 _NAMED = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|credential)s?[\"']?\s*(?::|=>?|:=)\s*[\"']\Z", re.I)
+_PASSWORD = re.compile(r"(?:passw(?:or)?d|passphrase|pwd)[\"']?\s*[:=]\s*[\"']?([0-9a-f]{16,}|[0-9A-F]{16,})(?![0-9A-Za-z])", re.I)
 _BASE62 = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")}
 _SIGNATURE = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES256K": (64,), "ES384": (96,), "ES512": (132,), "EDDSA": (64, 114), "NONE": (0,), **{a: (128, 256, 384, 512, 1024) for a in ("RS256", "RS384", "RS512", "PS256", "PS384", "PS512")}}
 KEY_BYTES = (16, 20, 24, 32, 48, 64)
@@ -167,8 +170,13 @@ def _jwt(m: re.Match) -> bool:
     return sizes is not None and len(signature) in sizes
 
 
+def _random(data: bytes) -> bool:
+    """Neither text nor repetitive."""
+    return len(set(data)) > len(data) // 3 and not all(9 <= b < 127 for b in data)
+
+
 def _raw(data: bytes) -> bool:
-    return len(data) in KEY_BYTES and len(set(data)) > len(data) // 3 and not all(9 <= b < 127 for b in data)
+    return len(data) in KEY_BYTES and _random(data)
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
@@ -192,6 +200,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         if value == zlib.crc32(m[2].encode()):
             found.append((m.start(), m.end(), "checked_token"))
     found += [(m.start(), m.end(), "access_key_id") for m in _CLOUD.finditer(text) if any(base64.b32decode(m[1])[6:])]
+    for m in _PASSWORD.finditer(text):
+        if len(m[1]) % 2 == 0 and _random(bytes.fromhex(m[1])):
+            found.append((m.start(1), m.end(1), "password"))
     for m in _HEX.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
