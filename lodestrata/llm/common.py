@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised operators take at a time; it bounds the
 #: memory of a Python worker and never splits a document.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows up to which a list of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -67,12 +67,13 @@ def text_slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[np.nd
         arr = arr.combine_chunks()
     if arr.null_count:
         arr = arr.fill_null("")
-    arr = arr.cast(pa.large_string())
     n = len(arr)
     if not n:
         return
+    wide = pa.types.is_large_string(arr.type)
     _, offs, data = arr.buffers()
-    offsets = np.frombuffer(offs, dtype=np.int64, count=n + 1, offset=arr.offset * 8)
+    # The bytes aren't copied: only the offsets are widened.
+    offsets = np.frombuffer(offs, np.int64 if wide else np.int32, n + 1, arr.offset * (8 if wide else 4)).astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:

@@ -39,11 +39,11 @@ GRAM_BITS = 14
 ECHO = (1 << STEM_BITS) + (1 << GRAM_BITS)
 SIZE = ECHO + 1
 #: Labelled documents of each grade that the fit takes at most.
-PER_GRADE = 1500
+PER_GRADE = 2000
 MIN_DOCS = 10
 GRADES = 3
 #: Least grade and its least probability for a document to be selected.
-GRADE, TAIL = 2, 0.35
+GRADE, TAIL = 2, 0.4
 #: Weight of a present stem, and of a share of trigrams or repeated words.
 STEM_SCALE, SHARE_SCALE = 0.5, 20.0
 
@@ -95,7 +95,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     sd, stem, echo = _stems(data, offsets)
     g, whole = _grams(data, offsets)
     n_grams = np.maximum(np.diff(offsets) - 2, 1)
-    gd = np.repeat(np.arange(n_docs), np.diff(offsets))[: len(g)][whole]
+    gd = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(offsets))[: len(g)][whole]
     gd, gram, count = bags(g[whole].astype(U) << U(64 - GRAM_BITS), gd, GRAM_BITS)
     some = np.flatnonzero(echo)
     doc = np.concatenate([sd, gd, some])
