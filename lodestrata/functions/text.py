@@ -13,8 +13,8 @@ WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F
 AVERAGE_TOKEN = 4
 MINIFIED_LINE = 5000
 BANNER_LINES = 8
-BANNERS = ("do not edit", "code generated", "auto-generated", "autogenerated", "@generated")
-MINIFIED_NAMES = (".min.", "-min.", ".bundle.")
+BANNERS = "@generated|auto-?generated|code generated|do not edit"
+MINIFIED_NAME = r"[.-]min\.|\.bundle\."
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,16 +141,11 @@ def is_minified(c: Column) -> Column:
 
 def is_generated(c: Column) -> Column:
     """Whether one of the first lines holds a generator's banner."""
-    pattern = "|".join(b.replace(".", r"\.") for b in BANNERS)
-    return F.exists(F.slice(lines(c), 1, BANNER_LINES), lambda x: F.lower(x).rlike(pattern))
+    return F.exists(F.slice(lines(c), 1, BANNER_LINES), lambda x: F.lower(x).rlike(BANNERS))
 
 
 def has_minified_name(path: Column) -> Column:
-    name = F.lower(base_name(path))
-    out = F.lit(False)
-    for fragment in MINIFIED_NAMES:
-        out = out | name.contains(fragment)
-    return out
+    return F.lower(base_name(path)).rlike(MINIFIED_NAME)
 
 
 def push_headings(marks: Column) -> Column:

@@ -264,7 +264,7 @@ def guard_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.is_minified(F.col("text")).alias("minified"))
 
 
-@query("SELECT conv_id, turn, len(list_filter(string_split(role || chr(10) || replace(text, ' ', chr(10)) || chr(10) || 'DO NOT EDIT', chr(10))[1:8], lambda l: regexp_matches(lower(l), 'do not edit|code generated|auto-generated|autogenerated|@generated'))) > 0 AS generated FROM conversations")
+@query("SELECT conv_id, turn, len(list_filter(string_split(role || chr(10) || replace(text, ' ', chr(10)) || chr(10) || 'DO NOT EDIT', chr(10))[1:8], lambda l: regexp_matches(lower(l), '@generated|auto-?generated|code generated|do not edit'))) > 0 AS generated FROM conversations")
 def guard_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.concat("role", F.lit("\n"), F.replace("text", F.lit(" "), F.lit("\n")), F.lit("\nDO NOT EDIT"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_generated(c).alias("generated"))

@@ -41,7 +41,7 @@ _EVENT = re.compile(
 _NOT_NAMES = frozenset("if for while switch catch return new else do try throw sizeof typeof await yield foreach using lock synchronized match when until select defer go assert super this echo print include require isset unset list array function func fn and or not in case elif fi done then".split())
 _BEFORE = re.compile(r"[\w>\]*&~:]\s*$")
 _DEF = re.compile(rf"^[ \t]*(?:async[ \t]+)?(?P<kind>def|class)[ \t]+(?P<name>{_NAME})", re.M)
-_ATTACHED = ("//", "#", "/*", "*/", "*", "--", '"""', "'''", "@")
+_ATTACHED = tuple("@ # * -- // /* */ ''' \"\"\"".split())
 
 
 def blanked(source: str, extension: str) -> str:

@@ -22,11 +22,8 @@ from . import code
 
 SCHEMA = "absolute_path string, file_id string, file_size long, modified_at_ns long"
 FORMATS = {
-    "plain": (".txt", ".text", ".log", ".rst", ".org", ".adoc"),
-    "markdown": (".md", ".markdown", ".mdown"),
-    "pdf": (".pdf",),
-    "docx": (".docx",),
     "code": tuple(sorted(code.EXTENSIONS)),
+    **{name: tuple("." + e for e in endings.split()) for name, endings in (("docx", "docx"), ("pdf", "pdf"), ("markdown", "markdown md mdown"), ("plain", "adoc log org rst text txt"))},
 }
 
 
