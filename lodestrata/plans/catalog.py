@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..functions import text as T
 from ..functions import vectors as V
@@ -310,7 +315,15 @@ def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("end_offset").alias("characters"), F.sum("token_count").alias("tokens"))
 
 
-@query()
+_TURN_TITLE = "'Conversation ' || conv_id || ' > ' || role || ' ' || turn"
+
+
+@query(
+    f"WITH t AS (SELECT conv_id, turn, {_TURN_TITLE} AS title, {sql.nonempty(sql.paragraphs(sql.normalize('text')))} AS parts FROM conversations), b AS (SELECT *, greatest(32, 350 - {sql.tokens('title')}) AS budget FROM t),"
+    f" packed AS (SELECT conv_id, turn, title, {sql.pack('parts', 'chr(10) || chr(10)', 'budget', 50, sql.prose)} AS texts FROM b), flat AS (SELECT conv_id, turn, title, unnest(texts) AS text, unnest(range(0, len(texts))) AS k FROM packed),"
+    " placed AS (SELECT *, row_number() OVER w - 1 AS chunk_index, sum(length(text)) OVER w AS upto FROM flat WINDOW w AS (PARTITION BY conv_id ORDER BY turn, title, k ROWS UNBOUNDED PRECEDING))"
+    f" SELECT conv_id, chunk_index::INT AS chunk_index, title, text, {sql.tokens('text')} AS token_count, (upto - length(text))::INT AS start_offset, upto::INT AS end_offset, sha256(title || chr(10) || text) AS content_hash FROM placed"
+)
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as Markdown: a heading for each, one below it for each turn."""
     turn = F.struct("turn", F.concat(F.lit("## "), "role", F.lit(" "), "turn", F.lit("\n\n"), "text").alias("t"))
@@ -328,6 +341,32 @@ def code_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunked(docs.where("sections is not null"), F.col("sections"), F.lit("doc"), "code", ["doc_id"])
 
 
+@F.arrow_udf(Y.BinaryType())
+def _docx(title: pa.Array, text: pa.Array) -> pa.Array:
+    """Small DOCX files of a heading and a paragraph for each line."""
+    space, out = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"', []
+    for head, body in zip(title.to_pylist(), text.to_pylist()):
+        lines = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in body.split("\n"))
+        heading = f'<w:p><w:pPr><w:outlineLvl w:val="0"/></w:pPr><w:r><w:t>{escape(head)}</w:t></w:r></w:p>'
+        file = io.BytesIO()
+        with zipfile.ZipFile(file, "w") as z:
+            z.writestr("word/document.xml", f"<w:document {space}><w:body>{heading}{lines}</w:body></w:document>")
+        out.append(file.getvalue())
+    return pa.array(out, pa.binary())
+
+
+@query(
+    f"WITH parts AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda l: {sql.trim('l')}), lambda l: l <> '') AS parts FROM documents), b AS (SELECT *, greatest(32, 350 - {_TITLE_TOKENS}) AS budget FROM parts),"
+    f" packed AS (SELECT doc_id, source, {sql.pack('parts', 'chr(10) || chr(10)', 'budget', 50, sql.prose)} AS texts FROM b)"
+    " SELECT doc_id, chunk_index::INT AS chunk_index, source AS title, sha256(source || chr(10) || text) AS content_hash FROM (SELECT doc_id, source, unnest(texts) AS text, unnest(range(0, len(texts))) AS chunk_index FROM packed)"
+)
+def docx_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents made DOCX files, a paragraph for each line, and chunked from these."""
+    made = table(spark, sf_dir, "documents").select("doc_id", "source", _docx(F.col("source"), F.col("text")).alias("content"))
+    parsed = made.select("doc_id", "source", parsers.docx_sections(F.col("content"))["sections"].alias("sections"))
+    return chunking.chunked(parsed, F.col("sections"), F.lit(""), "docx", ["doc_id"]).select("doc_id", "chunk_index", "title", "content_hash")
+
+
 # ---- embedding -------------------------------------------------------------
 
 
@@ -403,7 +442,16 @@ def pdf_heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.heading_levels(pdf.strip_repeats(pdf.lines(pdf_runs(spark, sf_dir))))
 
 
-@query()
+_BIG = "big AS (SELECT DISTINCT document_id, round(font_size * 2) / 2 AS size FROM kept JOIN fonts USING (document_id) WHERE round(font_size * 2) / 2 > body_font AND font_size >= body_font * 1.15), levels AS (SELECT document_id, size, dense_rank() OVER (PARTITION BY document_id ORDER BY size DESC) AS level FROM big)"
+_BODY = r"regexp_replace(regexp_replace(string_agg(text, chr(10) ORDER BY spot), '^\s+|\s+\z', '', 'g'), '(\p{L})-\n(\p{Ll})', '\1\2', 'g')"
+
+
+@query(
+    f"""WITH {_FONT}, {_BIG}, spots AS (SELECT k.*, l.level, row_number() OVER w AS spot, count(l.level) OVER w AS section FROM kept k LEFT JOIN levels l ON k.document_id = l.document_id AND l.size = round(k.font_size * 2) / 2 WINDOW w AS (PARTITION BY k.document_id ORDER BY page, top DESC, "left", seq ROWS UNBOUNDED PRECEDING)),
+ bodies AS (SELECT document_id, section, {_BODY} AS body FROM spots WHERE level IS NULL GROUP BY document_id, section), marks AS (SELECT document_id, section, level, text FROM spots WHERE level IS NOT NULL),
+ paths AS (SELECT a.document_id, a.section, list(b.text ORDER BY b.section) AS path FROM marks a JOIN marks b ON a.document_id = b.document_id AND b.section <= a.section WHERE NOT EXISTS (SELECT 1 FROM marks c WHERE c.document_id = a.document_id AND c.section > b.section AND c.section <= a.section AND c.level <= b.level) GROUP BY ALL)
+ SELECT document_id, section, coalesce(path, []) AS path, body FROM bodies LEFT JOIN paths USING (document_id, section) WHERE body <> ''"""
+)
 def pdf_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.sections(pdf_runs(spark, sf_dir))
 
@@ -466,6 +514,25 @@ def documents_from_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.documents_from_id(stored_documents(spark, sf_dir), 100, 500)
 
 
+@query(f"WITH {_STORED} SELECT id, absolute_path, status FROM stored WHERE id IN (3, 5, 8, 13, 1000000)")
+def documents_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups: an id that isn't there gives no row."""
+    return state.by_ids(stored_documents(spark, sf_dir), [3, 5, 8, 13, 1000000]).select("id", "absolute_path", "status")
+
+
+@query("SELECT turn::INT AS chunk_index, role AS title, text FROM conversations WHERE conv_id = 1")
+def chunks_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").cast("int").alias("chunk_index"), F.col("role").alias("title"), "text")
+    return state.chunks_of(chunks, 1).drop("document_id")
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, document_id, title, text FROM vchunks WHERE chunk_id IN (SELECT vec_id FROM embeddings WHERE label = 2)")
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and texts of the chunks in a table of ids."""
+    ids = table(spark, sf_dir, "embeddings").where("label = 2").select(F.col("vec_id").alias("chunk_id"))
+    return vector_chunks(spark, sf_dir).join(ids, "chunk_id", "left_semi")
+
+
 # Chunks are the turns. Before, the user's turns read otherwise and there were no turns of the system; every
 # conversation held its first turn twice.
 _OLD_CHUNKS = "old AS (SELECT conv_id * 100 + turn + 1 AS id, conv_id AS document_id, turn::INT AS chunk_index, sha256(CASE WHEN role = 'user' AND turn > 1 THEN 'old ' || text ELSE text END) AS content_hash FROM conversations UNION ALL SELECT conv_id * 100 + 99, conv_id, 99, sha256(text) FROM conversations WHERE turn = 0)"
