@@ -23,6 +23,8 @@ FETCH = 4096
 MAX_DOCUMENTS, MAX_CHUNKS = 20, 3
 #: Queries whose vectors are held against a batch at once.
 BLOCK = 1024
+#: Queries up to which a batch search sends them to every vector; beyond it both sides are cut into blocks.
+COLLECT = 8192
 
 
 @dataclass(frozen=True)
@@ -98,47 +100,81 @@ def nested(results: DataFrame) -> DataFrame:
     return results.groupBy("doc_rank", "document_id", "file_name", "absolute_path", "doc_score").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
-    """For each batch of vectors the k nearest to each query: a matrix product, then a partial sort."""
+def _unit_rows(flat: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows at unit length, whether each was zero)."""
+    v = flat.astype(np.float64).reshape(rows, -1)
+    n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(n == 0, 1, n), n[:, 0] == 0
 
+
+def _top(query_ids: np.ndarray, q: np.ndarray, q_zero: np.ndarray, chunk_ids: np.ndarray, v: np.ndarray, v_zero: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
+    """The k nearest of some vectors to each of some queries: a matrix product, then a partial sort.
+
+    All that tie with the last one stay; the window over all batches decides."""
+    cos = q @ v.T
+    if metric == V.L2:
+        d = np.sqrt(np.maximum(0, (~v_zero).astype(float)[None, :] + (~q_zero).astype(float)[:, None] - 2 * cos))
+    else:
+        d = np.where(v_zero[None, :] | q_zero[:, None], np.inf, 1 - cos)
+    key = np.round(d, V.ORDER_DIGITS)
+    take = min(k, d.shape[1])
+    edge = np.partition(key, take - 1, axis=1)[:, take - 1]
+    row, at = np.nonzero((key <= edge[:, None]) & np.isfinite(d))
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(chunk_ids[at]), pa.array(d[row, at])], names=["query_id", "chunk_id", "distance"])
+
+
+def _held_against(ids: np.ndarray, q: np.ndarray, q_zero: np.ndarray, k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            v = flat.reshape(batch.num_rows, -1)
-            n = np.sqrt((v * v).sum(axis=1))
-            cos = queries @ (v / np.where(n == 0, 1, n)[:, None]).T
-            if metric == V.L2:
-                zero_query = ~queries.any(axis=1)
-                d = np.sqrt(np.maximum(0, np.where(n == 0, 0.0, 1.0)[None, :] + np.where(zero_query, 0.0, 1.0)[:, None] - 2 * cos))
-            else:
-                d = np.where(n == 0, np.inf, 1 - cos)
-            chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            key = np.round(d, V.ORDER_DIGITS)
-            take = min(k, d.shape[1])
-            # All that tie with the last one stay; the window over the batches decides.
-            edge = np.partition(key, take - 1, axis=1)[:, take - 1]
-            q, at = np.nonzero((key <= edge[:, None]) & np.isfinite(d))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunk[at]), pa.array(d[q, at])], names=["query_id", "chunk_id", "distance"])
+            if batch.num_rows:
+                v, zero = _unit_rows(batch.column("vector").flatten().to_numpy(zero_copy_only=False), batch.num_rows)
+                yield _top(ids, q, q_zero, batch.column("chunk_id").to_numpy(zero_copy_only=False), v, zero, k, metric)
 
     return run
 
 
-def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = V.L2) -> DataFrame:
+def _block_pairs(k: int, metric: str):
+    def side(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values = rows.values
+        unit, zero = _unit_rows(values.field("vector").flatten().to_numpy(zero_copy_only=False), len(values))
+        return values.field("id").to_numpy(zero_copy_only=False), unit, zero
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, v in zip(batch.column("q"), batch.column("v")):
+                yield _top(*side(q), *side(v), k, metric)
+
+    return run
+
+
+def _blocked(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
+    """*df* as rows of about BLOCK vectors each."""
+    block = F.pmod(F.xxhash64(key), F.lit(-(-rows // BLOCK)))
+    return df.groupBy(block.alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), "vector")).alias(name)).select(name)
+
+
+_NEAR = "query_id long, chunk_id long, distance double"
+
+
+def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = V.L2, collect: int = COLLECT) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the *k* nearest vectors of every one of *queries* (query_id, vector).
 
-    The queries go to the vectors in blocks; each batch of vectors hands on only
-    its own k nearest to each query, and a window takes the best of those.
+    Up to *collect* queries go to the vectors in blocks; each batch of vectors
+    hands on only its own k nearest to each query, and a window takes the best of
+    those. Of more queries blocks are made on both sides, and all pairs of blocks
+    are computed where Spark puts them; nothing is collected.
     """
-    rows = queries.select("query_id", "vector").toPandas()
-    out = None
-    for at in range(0, max(len(rows), 1), BLOCK):
-        part = rows.iloc[at : at + BLOCK]
-        q = np.array(part["vector"].tolist(), np.float64).reshape(len(part), -1)
-        n = np.sqrt((q * q).sum(axis=1, keepdims=True))
-        q = q / np.where(n == 0, 1, n)
-        near = vectors.select("chunk_id", "vector").mapInArrow(_nearest(part["query_id"].to_numpy(np.int64), q, k, metric), "query_id long, chunk_id long, distance double")
-        out = near if out is None else out.unionByName(near)
+    count = queries.count()
+    near = vectors.sparkSession.createDataFrame([], _NEAR)
+    if count > collect:
+        total = max(vectors.count(), 1)
+        pairs = _blocked(queries.select("query_id", "vector"), "query_id", count, "q").crossJoin(_blocked(vectors.select("chunk_id", "vector"), "chunk_id", total, "v"))
+        near = pairs.mapInArrow(_block_pairs(k, metric), _NEAR)
+    elif count:
+        rows = queries.select("query_id", "vector").toPandas()
+        for at in range(0, count, BLOCK):
+            part = rows.iloc[at : at + BLOCK]
+            q, zero = _unit_rows(np.array(part["vector"].tolist()), len(part))
+            near = near.unionByName(vectors.select("chunk_id", "vector").mapInArrow(_held_against(part["query_id"].to_numpy(np.int64), q, zero, k, metric), _NEAR))
     order = Window.partitionBy("query_id").orderBy(F.round("distance", V.ORDER_DIGITS), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

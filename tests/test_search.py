@@ -52,10 +52,11 @@ def test_orphans_and_missing_rows(spark):
     assert search.search(vectors, chunks, documents, [1.0, 0.1], fetch=1).count() == 0
 
 
-@pytest.mark.parametrize("metric", [V.L2, V.COSINE])
-def test_batch_equals_single(spark, vectors, metric):
+@pytest.mark.parametrize("metric,collect", [(V.L2, 9), (V.COSINE, 9), (V.L2, 0), (V.COSINE, 0)])
+def test_batch_equals_single(spark, vectors, metric, collect, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 90)
     queries = vectors.where("chunk_id in (3, 77)").withColumnRenamed("chunk_id", "query_id")
-    batch = {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["distance"], 6)) for r in search.batch_knn(vectors, queries, 15, metric).collect()}
+    batch = {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["distance"], 6)) for r in search.batch_knn(vectors, queries, 15, metric, collect).collect()}
     for q in queries.collect():
         one = search.ranked(search.knn(vectors, list(q["vector"]), 15, metric)).collect()
         assert {(q["query_id"], r["rank"]): (r["chunk_id"], round(r["distance"], 6)) for r in one} == {k: v for k, v in batch.items() if k[0] == q["query_id"]}
