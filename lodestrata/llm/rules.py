@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("good"))
     chosen = F.broadcast(sample(good, per_class, 2, "good"))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    got = with_statistics(rows, "stats").select("id", "good", F.xxhash64("id").alias("h"), "stats.*").toPandas().drop_duplicates("id").sort_values(["h", "id"])
+    got = with_statistics(rows, "stats").select("id", "good", F.xxhash64("id").alias("h"), "stats.*").toPandas().sort_values(["h", "id", *STATISTICS]).drop_duplicates("id")
     return learn({s: got[s].to_numpy(float) for s in STATISTICS}, got["good"].to_numpy(int) == 0, precision)
 
 
