@@ -1,8 +1,10 @@
 """PII by a semi-Markov conditional random field.
 
 A text is cut into atoms (runs of letters, runs of digits, single other
-characters) around its digits and at signs; what lies further off can't be part
-of an entity, since every entity holds one of these. In such a region the model
+characters) around its digits and at signs, with the groups of capitals that an
+account number may have between or after them; a region ends where other words or
+an empty line stand, which are part of no entity. White space inside an entity may
+be of any width and hold a line break. In such a region the model
 scores whole candidate segments of up to MAX_ATOMS atoms by features of the
 whole span (its structure, its check digits, its length, what stands beside
 it) for each type, and transitions between types; a dynamic program over the
@@ -32,13 +34,16 @@ from .common import fresh
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 MAX_ATOMS = 24
 _ATOM = re.compile(r"[^\W\d_]+|\d+|\s+|.", re.S)
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@]+")
+_GAP = re.compile(r"\s+")
 _EMAIL = re.compile(r"[^\W_](?:[\w.+%-]*[\w])?@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 _PHONE = re.compile(r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _CARD = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+_IBAN_START = re.compile(r"[A-Z]{2}[0-9]{2}")
+_IBAN_WIDE = re.compile(_IBAN.pattern.replace(" ?", r"\s*"))
 
 
 def luhn(digits: str) -> bool:
@@ -61,6 +66,8 @@ def _side(c: str) -> str:
 def span_features(text: str, start: int, end: int) -> list[str]:
     """Names of the features that the span text[start:end] has."""
     s = text[start:end]
+    gaps = [g for g in _GAP.findall(s) if g != " "]
+    s = _GAP.sub(" ", s)
     n = sum(c.isdigit() for c in s)
     out = ["bias", f"digits:{min(n, 20)}" if n < 12 else f"digits:{'12' if n == 12 else '13-16' if n <= 16 else '17-19' if n <= 19 else '20+'}"]
     before, after = text[start - 1 : start], text[end : end + 1]
@@ -69,6 +76,8 @@ def span_features(text: str, start: int, end: int) -> list[str]:
         out.append("goes on")
     if before and before in ".-@_+" and text[start - 2 : start - 1].isalnum():
         out.append("went on")
+    if gaps:
+        out.append("wide" if len(gaps) == 1 else "wide more")
     if "@" in s:
         out.append("at")
     if s[0] in "+(":
@@ -98,21 +107,25 @@ def span_features(text: str, start: int, end: int) -> list[str]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the runs of words that hold a digit or an at sign, with at most two blanks between them."""
+    """(start, end) of the runs of words that hold a digit or an at sign or are part of what may be an IBAN, with no empty line between them."""
+    hints = [(m.start(), m.end()) for m in _HINT.finditer(text)]
+    hints += [m.span() for at in _IBAN_START.finditer(text) if (m := _IBAN_WIDE.match(text, at.start()))]
     out: list[list[int]] = []
-    at, n = 0, len(text)
-    while m := _HINT.search(text, at):
-        a, b = m.start(), m.end()
+    n = len(text)
+    for a, b in sorted(hints):
         low = out[-1][1] if out else 0
+        if b <= low:
+            continue
+        a = max(a, low)
         while a > low and not text[a - 1].isspace():
             a -= 1
         while b < n and not text[b].isspace():
             b += 1
-        if out and a - out[-1][1] <= 2 and "\n" not in text[out[-1][1] : a]:
+        gap = text[low:a]
+        if out and not gap.strip() and gap.count("\n") < 2:
             out[-1][1] = b
         else:
             out.append([a, b])
-        at = b
     return [(a, b) for a, b in out]
 
 
@@ -157,12 +170,16 @@ def _entity(rng: np.random.Generator, kind: str) -> str:
     if kind == "PHONE":
         return pick(f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(4)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}")
     if kind == "CARD":
-        return pick(d(16), d(16), d(15), " ".join(d(4) for _ in range(4)), "-".join(d(4) for _ in range(4)))
+        s = pick(d(16), d(16), d(15), " ".join(d(4) for _ in range(4)), "-".join(d(4) for _ in range(4)))
+        if rng.random() < 0.5:  # with the right check digit
+            s = next(t for c in "0123456789" if luhn(re.sub(r"\D", "", t := s[:-1] + c)))
+        return s
     if kind == "SSN":
         return f"{d(3)}-{d(2)}-{d(4)}"
-    s = "".join(pick("DE", "FR", "GB", "ES")) + "00" + d(int(rng.integers(4, 6)) * 4)
-    check = 98 - int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
-    s = f"{s[:2]}{check:02d}{s[4:]}"
+    caps = lambda n: "".join(chr(65 + c) for c in rng.integers(0, 26, n))
+    land, bban = pick(("DE", d(18)), ("FR", d(23)), ("ES", d(20)), ("GB", caps(4) + d(14)), ("NL", caps(4) + d(10)), ("IE", caps(4) + d(14)), ("MT", caps(4) + d(5) + caps(3) + d(15)), ("SC", caps(4) + d(20) + caps(3)), (caps(2), d(int(rng.integers(4, 6)) * 4)))
+    check = 98 - int("".join(str(int(c, 36)) for c in bban + land + "00")) % 97
+    s = f"{land}{check:02d}{bban}"
     return s if rng.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
 
@@ -170,7 +187,11 @@ def _decoy(rng: np.random.Generator) -> str:
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     hexa = lambda n: "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, n))
     pick = lambda *x: x[rng.integers(len(x))]
-    return pick(d(4), d(6), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}.{d(2)}", f"{d(3)}.{300 + int(d(2))}.{d(1)}.{d(1)}", f'token = "{hexa(40)}"', f"id{d(8)}", f"{d(9)}", f"{d(11)}x", f"@{hexa(5)}", f"a @ {d(2)}", f"{d(24)}", f"{d(2)}/{d(2)}/{d(4)}", f"{hexa(8)}-{hexa(4)}-4{hexa(3)}-{hexa(12)}", f"{d(1)}.{d(2)}.{d(1)}.{d(2)}.{d(1)}", f"{d(4)}-{d(4)}", f"§{d(3)}.{d(1)}")
+    caps = lambda n: "".join(chr(65 + c) for c in rng.integers(0, 26, n))
+    if rng.random() < 0.15:  # a column or a row of a table
+        n, gap = int(rng.integers(2, 5)), pick("\n", "   ", "\t")
+        return gap.join(d(n) for _ in range(rng.integers(2, 6)))
+    return pick(f"{caps(2)}{d(2)} {caps(4)} {d(4)}", f"{caps(4)} {d(4)} {caps(3)} {d(4)}", f"{caps(2)}{d(2)} {d(4)} {d(4)} {d(4)} {d(2)}", d(4), d(6), f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}.{d(2)}", f"{d(3)}.{300 + int(d(2))}.{d(1)}.{d(1)}", f'token = "{hexa(40)}"', f"id{d(8)}", f"{d(9)}", f"{d(11)}x", f"@{hexa(5)}", f"a @ {d(2)}", f"{d(24)}", f"{d(2)}/{d(2)}/{d(4)}", f"{hexa(8)}-{hexa(4)}-4{hexa(3)}-{hexa(12)}", f"{d(1)}.{d(2)}.{d(1)}.{d(2)}.{d(1)}", f"{d(4)}-{d(4)}", f"§{d(3)}.{d(1)}")
 
 
 def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -187,6 +208,10 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]
             if kind:
                 text += ("", "", "", "(", '"', "<")[rng.integers(6)]
                 piece = _entity(rng, kind)
+                blanks = [i for i, c in enumerate(piece) if c == " "]
+                if blanks and rng.random() < 0.15:  # wrapped, or set wide
+                    i = blanks[rng.integers(len(blanks))]
+                    piece = piece[:i] + ("\n", "   ", "\n  ")[rng.integers(3)] + piece[i + 1 :]
                 gold.append((len(text), len(text) + len(piece), kind))
                 text += piece + ("", "", "", ".", ",", "!!", "%%%", '"')[rng.integers(8)]
             else:

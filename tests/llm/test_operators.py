@@ -206,6 +206,17 @@ def test_pii_decoding_by_brute_force(crf):
     assert checked > 30
 
 
+def test_pii_entities_with_groups_of_letters_and_wide_gaps(crf):
+    ibans = ["GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "SC18 SSCB 1101 0000 0000 0000 1497 USD", "DE89 3704 0044 0532 0130 00"]
+    given = [(x, "IBAN") for iban in ibans for x in (iban, iban.replace(" ", ""))]
+    given += [("GB29 NWBK 6016\n1331 9268 19", "IBAN"), ("+49 170   1234 5678", "PHONE"), ("(415)\n555-2671", "PHONE"), ("4111 1111\n1111 1111", "CARD")]
+    for entity, kind in given:
+        for before, after in (("", ""), ("pay to ", " by friday."), ("IBAN: ", ".")):
+            assert crf.find(before + entity + after) == [(len(before), len(before + entity), kind)], (before, entity)
+    for text in ("1234\n5678\n9012\n3456\n7890", "GDP 2024 USA 1999 was NATO 2010"):
+        assert crf.find(text) == []
+
+
 # ---- near duplicates and fingerprints
 
 
