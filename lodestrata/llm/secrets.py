@@ -48,9 +48,9 @@ HINT = r"A[KS]IA[A-Z2-7]{16}|[A-Za-z0-9+/=_-]{24}|-----BEGIN |[0-9a-fA-F]{16}"
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----))*)-----END \1PRIVATE KEY-----")
 _JWT = re.compile(r"(?<![\w-])(eyJ[\w-]+)\.(eyJ[\w-]+)\.([\w-]*)(?![\w-])", re.A)
 _HEX = re.compile(r"(?<![0-9A-Za-z+/_-])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z+/=_-])")
-_BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+_BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
 _CHECKED = re.compile(r"(?<![A-Za-z0-9])([a-z]{2,5}_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_CLOUD = re.compile(r"(?<![0-9A-Za-z+/=_-])A[KS]IA([A-Z2-7]{16})(?![0-9A-Za-z+/=_-])")
+_CLOUD = re.compile(r"(?<![0-9A-Za-z+/_-])A[KS]IA([A-Z2-7]{16})(?![0-9A-Za-z+=_-]|/(?!\d{8}/))")  # signed requests have a date after it
 _NAMED = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|credential)s?[\"']?\s*(?::|=>?|:=)\s*[\"']\Z", re.I)
 _PASSWORD = re.compile(r"(?:passw(?:or)?d|passphrase|pwd)[\"']?\s*[:=]\s*[\"']?([0-9a-f]{16,}|[0-9A-F]{16,})(?![0-9A-Za-z])", re.I)
 _BASE62 = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")}
