@@ -1,23 +1,26 @@
 """Secret scans with structural confirmation.
 
 Candidates are runs of base64, base64url or hex digits (a run may go on over
-line breaks inside a PEM frame). Each is decoded, and reported only if the bytes
-have the structure of a secret:
+line breaks inside a PEM frame; written escapes of line breaks count as such, and
+a base64 run that holds a PEM frame may be wrapped). Each is decoded, and reported
+only if the bytes have the structure of a secret:
 
 - ``jwt``: three dotted base64url parts whose header is a JSON object with a
   known "alg", whose payload is a JSON object, and whose signature is as long as
   the algorithm makes it;
 - ``pkcs1``, ``pkcs8``, ``encrypted_pkcs8``, ``sec1``, ``dsa``: DER whose nested
   lengths add up exactly and whose fields are those of a private key, in a PEM
-  frame or bare, in base64 or hex;
+  frame or bare, in base64 or hex; or a PEM frame that is itself in base64;
 - ``openssh``: the OpenSSH magic followed by length-prefixed strings;
 - ``checked_token``: a prefixed token whose last six base-62 digits are the CRC-32
   of what stands before them;
 - ``access_key_id``: a cloud key's prefix and 16 base-32 digits, which decode to an
   account field of six bytes and a serial part that isn't empty;
-- ``raw_key``: the quoted value of an assignment to a key, token, secret or
-  password, in hex, that decodes to a usual number of key bytes which are neither
-  text nor repetitive;
+- ``raw_key``: the value of an assignment to a key (not a public one), token,
+  secret or password, quoted or not, in hex or base64, that decodes to a usual
+  number of key bytes which are neither text nor repetitive. In base64 it must
+  also not look like a name, whose neighbours are mostly of one class (small
+  letters, capitals, digits);
 - ``password``: the hex value of an assignment to a password, of eight bytes or
   more, that is neither text nor repetitive.
 
@@ -44,18 +47,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Any text with a secret matches this; other texts don't leave the JVM.
-HINT = r"A[KS]IA[A-Z2-7]{16}|[A-Za-z0-9+/=_-]{24}|-----BEGIN |[0-9a-fA-F]{16}"
+HINT = r"A[KS]IA[A-Z2-7]{16}|[A-Za-z0-9+/=_-]{22}|-----BEGIN |[0-9a-fA-F]{16}"
+_ESCAPE = re.compile(r"\\+(?:r\\+n|[nr])")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----))*)-----END \1PRIVATE KEY-----")
-_JWT = re.compile(r"(?<![\w-])(eyJ[\w-]+)\.(eyJ[\w-]+)\.([\w-]*)(?![\w-])", re.A)
-_HEX = re.compile(r"(?<![0-9A-Za-z+/_-])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z+/=_-])")
-_BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
-_CHECKED = re.compile(r"(?<![A-Za-z0-9])([a-z]{2,5}_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_CLOUD = re.compile(r"(?<![0-9A-Za-z+/_-])A[KS]IA([A-Z2-7]{16})(?![0-9A-Za-z+=_-]|/(?!\d{8}/))")  # signed requests have a date after it
-_NAMED = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|credential)s?[\"']?\s*(?::|=>?|:=)\s*[\"']\Z", re.I)
+#: Where a run begins: not inside another, but right after a written escape.
+_FROM = r"(?:(?<=\\[nrt])|(?<![0-9A-Za-z{}])(?!(?<=\\)[nrt]))"
+_JWT = re.compile(_FROM.format("_-") + r"(eyJ[\w-]+)\.(eyJ[\w-]+)\.([\w-]*)(?![\w-])", re.A)
+_HEX = re.compile(_FROM.format("+/_-") + r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z+/=_-])")
+_BLOB = re.compile(_FROM.format("+/_-") + r"[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: base64 of "-----BEGIN ", over lines.
+_WRAPPED = re.compile(_FROM.format("+/_-") + r"LS0tLS1CRUdJTi[A-Za-z0-9+/]+(?:(?:\s|\\+[rn])+(?!LS0tLS1CRUdJTi)[A-Za-z0-9+/]+)*={0,2}")
+_CHECKED = re.compile(_FROM.format("") + r"([a-z]{2,5}_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
+_CLOUD = re.compile(_FROM.format("+/_-") + r"A[KS]IA([A-Z2-7]{16})(?![0-9A-Za-z+=_-]|/(?!\d{8}/))")  # signed requests have a date after it
+_NAME = r"(?:(?<!pub)(?<!public)(?<!pub[ _-])(?<!public[ _-])key|token|secret|passw(?:or)?d|pwd|credential)s?[\\\"']*\s*(?::=|=>?|:)\s*[\\\"']*"
+_NAMED = re.compile(_NAME + r"\Z", re.I)
+_ASSIGNED = re.compile(rf"(?i:{_NAME})([A-Za-z0-9+/_-]{{22,}}={{0,2}})(?![A-Za-z0-9+/=_-])")
 _PASSWORD = re.compile(r"(?:passw(?:or)?d|passphrase|pwd)[\"']?\s*[:=]\s*[\"']?([0-9a-f]{16,}|[0-9A-F]{16,})(?![0-9A-Za-z])", re.I)
 _BASE62 = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")}
 _SIGNATURE = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES256K": (64,), "ES384": (96,), "ES512": (132,), "EDDSA": (64, 114), "NONE": (0,), **{a: (128, 256, 384, 512, 1024) for a in ("RS256", "RS384", "RS512", "PS256", "PS384", "PS512")}}
 KEY_BYTES = (16, 20, 24, 32, 48, 64)
+BASE64_KEY_BYTES = (*KEY_BYTES, 30)  # cloud secret access keys have 40 digits
 _LEAST = 16  # bytes of a DER key at least
 
 Node = tuple[int, int, int]  # tag, start and end of the contents
@@ -179,19 +190,56 @@ def _raw(data: bytes) -> bool:
     return len(data) in KEY_BYTES and _random(data)
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the secrets, in order, without overlaps."""
-    if not text:
-        return []
-    found: list[tuple[int, int, str]] = []
+def _raw_base64(text: str) -> bool:
+    """Whether *text* is base64 of a key's bytes, and neither hex nor a name or path."""
+    digits = text.rstrip("=")
+    classes = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in digits]
+    alike = sum(a == b for a, b in zip(classes, classes[1:]))
+    data = unbase64(text)
+    return data is not None and len(data) in BASE64_KEY_BYTES and _random(data) and alike < 0.6 * len(digits) and {"a", "A"} <= set(classes)
+
+
+def _pems(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the private keys in PEM frames."""
     for m in _PEM.finditer(text):
-        body = "".join(line for line in m[2].split("\n") if ":" not in line)  # without an encryption header
+        inner = _ESCAPE.sub("\n", m[2]).replace("\\", "")
+        body = "".join(line for line in inner.split("\n") if ":" not in line)  # without an encryption header
         data = unbase64("".join(body.split()))
         kind = bytes_kind(data)
-        if kind is None and data and "Proc-Type: 4,ENCRYPTED" in m[2] and len(data) >= 64 and len(data) % 8 == 0:
+        if kind is None and data and "Proc-Type: 4,ENCRYPTED" in inner and len(data) >= 64 and len(data) % 8 == 0:
             kind = "encrypted_pem"
         if kind:
-            found.append((m.start(), m.end(), kind))
+            yield m.start(), m.end(), kind
+
+
+def _base64_kind(text: str) -> str | None:
+    """Kind of the private key that *text* holds in base64: its bytes, or a PEM frame."""
+    data = unbase64(text)
+    kind = bytes_kind(data)
+    if kind is None and data and b"PRIVATE KEY-----" in data:
+        kind = next((k for *_, k in _pems(data.decode("latin-1"))), None)
+    return kind
+
+
+def _wrapped(m: re.Match) -> tuple[int, int, str] | None:
+    """The private key in base64 of a PEM frame over lines, as far as the line or word that holds its end."""
+    parts = [*re.finditer(r"\S+", _ESCAPE.sub(lambda e: " " * len(e[0]), m[0]))]
+    digits = "".join(p[0] for p in parts).rstrip("=")
+    data = unbase64(digits[: len(digits) - (len(digits) % 4 == 1)])
+    for _, end, kind in _pems((data or b"").decode("latin-1")):
+        left = -(-end * 4 // 3)
+        for p in parts:
+            left -= len(p[0].rstrip("="))
+            if left <= 0:
+                return m.start(), m.start() + p.end(), kind
+    return None
+
+
+def find(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the secrets, in order, without overlaps."""
+    if not text:
+        return []
+    found = list(_pems(text))
     found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _jwt(m)]
     for m in _CHECKED.finditer(text):
         value = 0
@@ -207,15 +255,15 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
             kind = bytes_kind(data)
-            if kind is None and text[m.end() : m.end() + 1] in ('"', "'") and _raw(data) and _NAMED.search(text, max(0, m.start() - 40), m.start()):
+            if kind is None and _raw(data) and _NAMED.search(text, max(0, m.start() - 40), m.start()):
                 kind = "raw_key"
             if kind:
                 found.append((m.start(), m.end(), kind))
     for m in _BLOB.finditer(text):
-        if m[0].startswith(("M", "b3BlbnNzaC1rZXktdjE")):  # base64 of DER's first byte, and of the magic
-            kind = bytes_kind(unbase64(m[0]))
-            if kind:
-                found.append((m.start(), m.end(), kind))
+        if kind := _base64_kind(m[0]):
+            found.append((m.start(), m.end(), kind))
+    found += [f for m in _WRAPPED.finditer(text) if (f := _wrapped(m))]
+    found += [(m.start(1), m.end(1), "raw_key") for m in _ASSIGNED.finditer(text) if _raw_base64(m[1])]
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str]] = []
     for f in found:
