@@ -1,11 +1,12 @@
 """PII by a semi-Markov conditional random field.
 
-A text is cut into atoms (runs of letters, runs of digits, single other
-characters) around its digits and at signs, with the groups of capitals that an
+A text is cut into atoms (runs of letters and digits, runs of white space, single
+other characters) around its digits and at signs, with the groups of capitals that an
 account number may have between or after them; a region ends where other words or
 an empty line stand, which are part of no entity. White space inside an entity may
 be of any width and hold a line break. In such a region the model
-scores whole candidate segments of up to MAX_ATOMS atoms by features of the
+scores whole candidate segments (of up to MAX_ATOMS atoms, or with one at sign and
+up to MAX_EMAIL characters of an address) by features of the
 whole span (its structure, its check digits, its length, what stands beside
 it) for each type, and transitions between types; a dynamic program over the
 segment ends finds the best joint choice of boundaries and types.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
+#: All patterns but that of addresses end well before it: the longest IBAN in groups has 17 atoms.
 MAX_ATOMS = 24
-_ATOM = re.compile(r"[^\W\d_]+|\d+|\s+|.", re.S)
+MAX_EMAIL = 254
+_ATOM = re.compile(r"[^\W_]+|\s+|.", re.S)
 _HINT = re.compile(r"[0-9@]+")
 _GAP = re.compile(r"\s+")
 _EMAIL = re.compile(r"[^\W_](?:[\w.+%-]*[\w])?@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
@@ -69,7 +73,7 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     gaps = [g for g in _GAP.findall(s) if g != " "]
     s = _GAP.sub(" ", s)
     n = sum(c.isdigit() for c in s)
-    out = ["bias", f"digits:{min(n, 20)}" if n < 12 else f"digits:{'12' if n == 12 else '13-16' if n <= 16 else '17-19' if n <= 19 else '20+'}"]
+    out = ["bias", "digits:any" if "@" in s else f"digits:{min(n, 20)}" if n < 12 else f"digits:{'12' if n == 12 else '13-16' if n <= 16 else '17-19' if n <= 19 else '20+'}"]
     before, after = text[start - 1 : start], text[end : end + 1]
     out += [f"before:{_side(before)}", f"after:{_side(after)}"]
     if after and after in ".-@_+" and text[end + 1 : end + 2].isalnum():
@@ -131,20 +135,29 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 def candidates(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(first atom, atom after the last) of the segments that may be entities."""
-    kinds = ["d" if text[a].isdigit() else "l" if text[a].isalpha() else text[a] for a, _ in atoms]
-    hint = np.cumsum([0] + [k in "d@" for k in kinds])
-    size = np.cumsum([0] + [b - a if k == "d" else 0 for (a, b), k in zip(atoms, kinds)])
-    space = np.cumsum([0] + [text[a].isspace() for a, _ in atoms])
+    kinds = ["w" if text[a].isalnum() else " " if text[a].isspace() else text[a] for a, _ in atoms]
+    digits = [0, *accumulate(sum(map(str.isdigit, text[a:b])) if k == "w" else 0 for (a, b), k in zip(atoms, kinds))]
+    space, dots = ([0, *accumulate(k == c for k in kinds)] for c in " .")
     out = []
     for i, k in enumerate(kinds):
-        if k not in "dl+(" or (i and k in "dl" and kinds[i - 1] in "dl"):
+        if k not in "w+(":
             continue
         for j in range(i + 1, min(len(atoms), i + MAX_ATOMS) + 1):
-            if space[j] - space[i] > 8:
+            if kinds[j - 1] == "@" or space[j] - space[i] > 8:
                 break
-            if kinds[j - 1] in "dl" and hint[j] > hint[i] and not (j < len(kinds) and kinds[j] in "dl") and ("@" in kinds[i:j] or size[j] - size[i] >= 7 or kinds[i:j].count(".") == 3):
+            if kinds[j - 1] == "w" and (digits[j] - digits[i] >= 7 or (dots[j] - dots[i] == 3 and digits[j] > digits[i])):
                 out.append((i, j))
-    return out
+    for at in (i for i, k in enumerate(kinds) if k == "@"):
+        first, last = at, at + 1
+        while first and kinds[first - 1] in "w._+%-" and atoms[at][0] - atoms[first - 1][0] < MAX_EMAIL:
+            first -= 1
+        while last < len(kinds) and kinds[last] in "w._-" and atoms[last][1] - atoms[at][0] < MAX_EMAIL:
+            last += 1
+        ends = [j for j in range(at + 2, last + 1) if kinds[j - 1] == "w"]
+        for i in range(first, at):
+            if kinds[i] == "w":
+                out += [(i, j) for j in ends if atoms[j - 1][1] - atoms[i][0] <= MAX_EMAIL]
+    return sorted(out)
 
 
 def cut(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -163,6 +176,11 @@ def _entity(rng: np.random.Generator, kind: str) -> str:
     if kind == "EMAIL":
         local = pick(word(), f"{word()}.{word()}", f"{word()}.{d(2)}", f"{word()}_{d(3)}", f"{word()}+{word()}", f"é{word()}.{d(2)}")
         host = pick(f"{word()}.com", f"mail{d(1)}.{word()}.com", f"{word()}.co.uk", f"{word()}-{word()}.org")
+        if rng.random() < 0.3:  # machine-made and dotted ones
+            hexa = lambda n: "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, n))
+            many = lambda least, signs: "".join(pick(word(), d(2), hexa(4)) + pick(*signs) for _ in range(rng.integers(least, 6)))
+            local = pick(hexa(int(rng.integers(8, 41))), f"{word()}+{hexa(20)}", f"{many(1, '._-+')}{word()}", f"{many(1, '._-+')}{d(4)}", f"{hexa(8)}-{hexa(4)}-4{hexa(3)}-{hexa(12)}")
+            host = pick(host, f"{many(1, '.-')}{host}")
         out = f"{local}@{host}"
         return out.upper() if rng.random() < 0.15 else out
     if kind == "IP":
@@ -279,8 +297,6 @@ def fitted(sentences: int = 500, steps: int = 60, seed: int = 7, l2: float = 1e-
     for text, gold in generated(sentences, seed):
         for a, b in regions(text):
             atoms = cut(text, a, b)
-            if len(atoms) > 48:
-                continue
             n = len(regions_)
             regions_.append(len(atoms))
             first, last = {s: i for i, (s, _) in enumerate(atoms)}, {e: i + 1 for i, (_, e) in enumerate(atoms)}
@@ -305,32 +321,33 @@ def fitted(sentences: int = 500, steps: int = 60, seed: int = 7, l2: float = 1e-
     gold[at, np.array(gold_rows)[at] - 1] = 1
     w, moves = np.zeros((len(names), k - 1)), np.zeros((k, k))
     m, v = np.zeros(w.size + moves.size), np.zeros(w.size + moves.size)
-    alive = np.arange(size + 1)[None, :] <= ends[:, None]
+    by_start, by_end = ([np.flatnonzero(c == p) for p in range(size + 1)] for c in (i, j))
     for step in range(1, steps + 1):
-        score = np.full((count, size + 1, MAX_ATOMS + 1, k), -np.inf)
-        score[:, 1:, 1, 0] = 0
-        score[n, j, j - i, 1:] = x @ w
+        score = x @ w
         alpha = np.full((count, size + 1, k), -np.inf)
         come = np.full((count, size + 1, k), -np.inf)
         alpha[:, 0, 0] = 0
         come[:, 0] = _lse(alpha[:, 0, :, None] + moves, 1)
         for p in range(1, size + 1):
-            span = np.arange(1, min(p, MAX_ATOMS) + 1)
-            alpha[:, p] = _lse(score[:, p, span] + come[:, p - span], 1)
+            alpha[:, p, 0] = come[:, p - 1, 0]
+            r = by_end[p]
+            np.logaddexp.at(alpha[:, p, 1:], n[r], come[n[r], i[r], 1:] + score[r])
             come[:, p] = _lse(alpha[:, p, :, None] + moves, 1)
         z = _lse(alpha[np.arange(count), ends], 1)
         beta = np.full((count, size + 1, k), -np.inf)
         start = np.full((count, size + 1, k), -np.inf)  # of a segment of each type that starts there
         beta[np.arange(count), ends] = 0
         for p in range(size - 1, -1, -1):
-            span = np.arange(1, min(size - p, MAX_ATOMS) + 1)
-            start[:, p] = _lse(score[:, p + span, span] + np.where(alive[:, p + span, None], beta[:, p + span], -np.inf), 1)
+            start[:, p, 0] = beta[:, p + 1, 0]
+            r = by_start[p]
+            np.logaddexp.at(start[:, p, 1:], n[r], beta[n[r], j[r], 1:] + score[r])
             inner = _lse(moves[None] + start[:, p, None, :], 2)
             beta[:, p] = np.where((p < ends)[:, None], inner, beta[:, p])
-        marginal = np.exp(come[n, i, 1:] + score[n, j, j - i, 1:] + beta[n, j, 1:] - z[n, None])
+        marginal = np.exp(come[n, i, 1:] + score + beta[n, j, 1:] - z[n, None])
         pair = np.exp(alpha[:, :-1, :, None] + moves + start[:, :-1, None, :] - z[:, None, None, None])
         pair[~(np.arange(size)[None] < ends[:, None])] = 0
         grad = np.append((x.T @ (marginal - gold) / count + l2 * w).ravel(), ((pair.sum(axis=(0, 1)) - moves_gold) / count + l2 * moves).ravel())
+        grad[w.size] = 0  # a step from none to none scores 0, else atoms outside would outweigh any long entity
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, moves = w - move[: w.size].reshape(w.shape), moves - move[w.size :].reshape(moves.shape)

@@ -217,6 +217,13 @@ def test_pii_entities_with_groups_of_letters_and_wide_gaps(crf):
         assert crf.find(text) == []
 
 
+def test_pii_long_addresses(crf):
+    addresses = ["3f2a9c4b1d7e8f60a1b2c3d4@example.com", "reply+a1b2c3d4e5f6a7b8c9@reply.github.com", "john_smith.doe-roe.99+news.2024@mail-7.eu-west-1.example.co.uk", "123e4567-e89b-42d3-a456-426614174000@in-1.eu.example.org", f"x{'.a1' * 25}@{'b2.' * 35}example.org"]
+    for address in addresses:
+        for before, after in (("", ""), ("mail to ", " by friday."), ("<", ">"), ("write to ", ".")):
+            assert crf.find(before + address + after) == [(len(before), len(before + address), "EMAIL")], (before, address)
+
+
 # ---- near duplicates and fingerprints
 
 
