@@ -284,6 +284,11 @@ def test_near_duplicates_against_all_pairs(spark):
     assert left == set(range(len(texts))) - set(got)
 
 
+def test_bands_find_pairs_at_the_threshold():
+    for m in (near_dedup, fingerprints):
+        assert 1 - (1 - m.THRESHOLD**m.ROWS) ** m.BANDS >= 0.9
+
+
 def test_components(spark):
     rng = random.Random(10)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7), (1, 2)]
