@@ -4,10 +4,11 @@ Two deterministic transducers count the tokens of a byte-level BPE vocabulary.
 
 The *boundary* transducer has eleven states over classes of characters. Each
 transition is annotated with the pre-tokens that it emits, here or one character
-back. A text array is cut into chunks; every chunk's map from start states to
-(end state, pre-tokens emitted) is computed for all states at once, the maps
-are composed by a parallel prefix scan, and the scan's start states give the
-boundaries in each chunk.
+back. Its transitions are compiled for runs of four classes at once. A text array
+is cut into chunks; every chunk's map from start states to (end state, pre-tokens
+emitted) is computed for all states at once, the maps are composed by a parallel
+prefix scan, and the scan's start states and counts give each chunk its place and
+the boundaries in it.
 
 The *merge* transducer runs over the bytes of a pre-token. Its state is the
 longest suffix of what was read that begins some vocabulary token, with the last
@@ -15,14 +16,17 @@ token and the relative token count of the encodings of the prefixes that end in
 it; that is all a later byte can depend on, so the states are finitely many. A
 byte leads to the one token whose encoding is consistent with the prefix before
 it, and the transition carries the change in the token count. Transitions are
-compiled when first taken and kept.
+compiled when first taken and kept. A pre-token ends in the start state, so that
+its chunk map is a number of tokens; the maps are kept by their bytes, and a text's
+count is the sum that composes them. Longer pre-tokens are cut into chunks whose
+maps (start state and bytes to end state and tokens) are kept and composed.
 
 Counts equal those of the vocabulary's own encoder without special tokens.
 
 Defined results: a null or empty text has 0 tokens. Each row is counted by
 itself, whatever repeats; a null id stays. Texts of any length are counted
 whole. Other columns are not returned by counted(), and pass through
-with_counts() whatever their names.
+with_counts(); one named like the count stays under a free name, _n_tokens.
 """
 
 from __future__ import annotations
@@ -31,21 +35,24 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_slices
+from .common import fresh, text_slices, with_columns
 from .vec import run_hashes
 
 #: Where the public vocabularies lie; a parameter of every query.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters that a chunk's state map spans.
 CHUNK = 256
-#: Pre-tokens whose counts a worker remembers; beyond it they are forgotten and counted again.
-REMEMBER = 400_000
+#: Slots of the table of pre-tokens whose counts a worker remembers; half full, it is emptied and they are counted again.
+REMEMBER = 1 << 20
+#: Bytes that a chunk of a long pre-token spans.
+BYTES = 48
 #: Compiled states that a worker keeps; beyond it they are compiled again when next needed.
 COMPILED = 200_000
 
@@ -107,7 +114,24 @@ def boundary_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _NEXT, _EMIT = boundary_tables()
-_COUNT = ((_EMIT & 1) + (_EMIT >> 1)).astype(np.int64)
+RUN = 4  # classes that one compiled transition reads
+
+
+def _compiled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(next state, pre-tokens emitted, two bits of emission for each class) of every run of classes from every state."""
+    runs = np.array(list(product(range(11), repeat=RUN)), np.uint8)
+    state = np.tile(np.arange(STATES, dtype=np.uint8), (len(runs), 1))
+    count, emitted = np.zeros(state.shape, np.uint8), np.zeros(state.shape, np.uint8)
+    for k in range(RUN):
+        emit = _EMIT[runs[:, k, None], state]
+        count += (emit & 1) + (emit >> 1)
+        emitted |= emit << (2 * k)
+        state = _NEXT[runs[:, k, None], state]
+    return state.reshape(-1), count.reshape(-1), emitted.reshape(-1)
+
+
+_RUN_NEXT, _RUN_COUNT, _RUN_EMIT = _compiled()
+_UNPACK = np.array([[e >> 2 * k & 3 for k in range(RUN)] for e in range(256)], np.uint8)
 _classes = np.full(0x110001, 255, np.uint8)
 _classes[0x110000] = _END
 for _c, _k in {" ": _SPACE, "'": _QUOTE, "s": _S, "t": _S, "m": _S, "d": _S, "e": _E, "l": _L, "r": _RV, "v": _RV}.items():
@@ -125,18 +149,25 @@ def classes(code: np.ndarray) -> np.ndarray:
     return got
 
 
-def chunk_maps(cls: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """(end state, pre-tokens emitted) of every chunk for every start state; the last chunk is padded with ends of text."""
-    grid = np.full(-(-len(cls) // chunk) * chunk, _END, np.uint8)
+def _runs(cls: np.ndarray, chunk: int) -> np.ndarray:
+    """(chunks, runs of each) by their number; the last chunk is padded with ends of text."""
+    grid = np.full(-(-len(cls) // chunk) * chunk, _END, np.uint16)
     grid[: len(cls)] = cls
-    grid = grid.reshape(-1, chunk)
-    state = np.tile(np.arange(STATES, dtype=np.uint8), (len(grid), 1))
+    grid = grid.reshape(-1, chunk // RUN, RUN)
+    number = grid[:, :, 0]
+    for k in range(1, RUN):
+        number = number * np.uint16(11) + grid[:, :, k]
+    return number.astype(np.int32) * STATES
+
+
+def chunk_maps(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(end state, pre-tokens emitted) of every chunk for every start state."""
+    state = np.tile(np.arange(STATES, dtype=np.uint8), (len(runs), 1))
     count = np.zeros(state.shape, np.int64)
-    flat_next, flat_count = _NEXT.reshape(-1), _COUNT.reshape(-1)
-    for k in range(chunk):
-        at = grid[:, k, None] * np.uint16(STATES) + state
-        count += flat_count[at]
-        state = flat_next[at]
+    for k in range(runs.shape[1]):
+        at = runs[:, k, None] + state
+        count += _RUN_COUNT[at]
+        state = _RUN_NEXT[at]
     return state, count
 
 
@@ -151,24 +182,24 @@ def prefix_scan(state: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.nd
     return state, count
 
 
-def boundaries(cls: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """Whether a pre-token starts at each character."""
+def pretokens(cls: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """The characters at which pre-tokens start, in order; *chunk* is a multiple of RUN."""
     n = len(cls)
-    state, _ = prefix_scan(*chunk_maps(cls, chunk))
+    runs = _runs(cls, chunk)
+    state, count = prefix_scan(*chunk_maps(runs))
     now = np.append(_START, state[:-1, _START]).astype(np.uint8)
-    grid = np.full(len(state) * chunk, _END, np.uint8)
-    grid[:n] = cls
-    grid = grid.reshape(-1, chunk)
-    emitted = np.zeros(grid.shape, np.uint8)
-    flat_next, flat_emit = _NEXT.reshape(-1), _EMIT.reshape(-1)
-    for k in range(chunk):
-        at = grid[:, k] * np.uint16(STATES) + now
-        emitted[:, k] = flat_emit[at]
-        now = flat_next[at]
-    emitted = emitted.reshape(-1)[:n]
-    out = (emitted & 1).astype(bool)
-    out[:-1] |= emitted[1:] >= 2
-    return out
+    emitted = np.zeros(runs.shape, np.uint8)
+    for k in range(runs.shape[1]):
+        at = runs[:, k] + now
+        emitted[:, k] = _RUN_EMIT[at]
+        now = _RUN_NEXT[at]
+    bits = _UNPACK[emitted].reshape(-1)
+    back = np.flatnonzero(bits >= 2)
+    here = bits & 1
+    here[back - 1] = 1
+    starts = np.flatnonzero(here[:n])
+    assert len(starts) == count[-1, _START]  # what the composed maps emit
+    return starts
 
 
 # ---- merge transducer ------------------------------------------------------
@@ -181,6 +212,7 @@ class Merges:
         self.ranks = ranks
         #: What begins a longer token.
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.forget()
 
@@ -190,23 +222,61 @@ class Merges:
         self.states: list = [(b"", ((b"", 0),))]
         self.names = {self.states[0]: 0}
         self.edges: list[dict[int, tuple[int, int]]] = [{}]
+        self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
         self.pairs.clear()
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """The plain encoding of a few bytes."""
+    def merged(self, text: bytes, below: int = 1 << 60) -> list[bytes]:
+        """The plain encoding of a few bytes, by merges of a rank under *below*."""
         parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
+        ranks = [self.ranks.get(text[i : i + 2], below) for i in range(len(text) - 1)]
+        while ranks:
+            least = min(ranks)
+            if least >= below:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], below)
+            if i < len(ranks):
+                ranks[i] = self.ranks.get(parts[i] + parts[i + 1], below)
         return parts
 
+    def split(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts that are merged last into a token; None for a single byte."""
+        if token not in self.halves:
+            parts = self.merged(token, self.ranks[token]) if len(token) > 1 else ()
+            self.halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.halves[token]
+
     def agree(self, a: bytes, b: bytes) -> bool:
-        """Whether the encoding of a + b is a, b."""
+        """Whether the encoding of a + b is a, b. It isn't if two parts at the seam, at the right end of a
+        and the left end of b, would be merged before one of them goes into the next larger part; those
+        that stand there at the same time are found by undoing the later of the two merges."""
         got = self.pairs.get((a, b))
         if got is None:
-            got = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            got, before, left, right, ranks = True, 1 << 60, a, b, self.ranks
+            while True:
+                r = ranks.get(left + right)
+                if r is not None and r < before:
+                    got = False
+                    break
+                # Of single bytes there is no merge to undo.
+                ra = ranks[left] if len(left) > 1 else -1
+                rb = ranks[right] if len(right) > 1 else -1
+                if ra < 0 and rb < 0:
+                    break
+                # A merge at the right of the seam gives way to one of equal rank at its left.
+                if ra > rb:
+                    half = self.split(left)
+                    before, left = ra, half[1] if half else b""
+                else:
+                    half = self.split(right)
+                    before, right = rb + 1, half[0] if half else b""
+                if half is None:  # an odd vocabulary
+                    got = self.merged(a + b) == [a, b]
+                    break
+            self.pairs[a, b] = got
         return got
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
@@ -216,73 +286,134 @@ class Merges:
             return found
         suffix, ends = self.states[state]
         s = suffix + bytes((byte,))
-        for k in range(len(s)):
-            token = s[k:]
-            if token in self.ranks and ends[k] is not None and (not ends[k][0] or self.agree(ends[k][0], token)):
+        n, ranks, begins = len(s), self.ranks, self.begins
+        for k in range(n):
+            end = ends[k]
+            if end is not None and (token := s[k:]) in ranks and (not end[0] or self.agree(end[0], token)):
                 break
         else:
             raise ValueError("the vocabulary lacks a single byte")
-        delta = ends[k][1] + 1
-        live = [s[j:] in self.begins for j in range(len(s))]
-        j = live.index(True) if True in live else len(s)
-        keep = tuple((ends[i][0], ends[i][1] - delta) if live[i] else None for i in range(j, len(s))) + ((token, 0),)
-        new = (s[j:], keep)
+        delta = end[1] + 1
+        j, keep = 0, []
+        while j < n and s[j:] not in begins:
+            j += 1
+        for i in range(j, n):
+            end = ends[i]
+            keep.append((end[0], end[1] - delta) if end is not None and s[i:] in begins else None)
+        keep.append((token, 0))
+        new = (s[j:], tuple(keep))
         name = self.names.get(new)
         if name is None:
             name = self.names[new] = len(self.states)
             self.states.append(new)
             self.edges.append({})
-        self.edges[state][byte] = name, delta
-        return name, delta
+        found = self.edges[state][byte] = name, delta
+        return found
 
-    def count(self, text: bytes) -> int:
-        state = total = 0
-        edges = self.edges
+    def run(self, state: int, text: bytes) -> tuple[int, int]:
+        """(end state, tokens) of *text* from *state*."""
+        total, edges = 0, self.edges
         for byte in text:
             got = edges[state].get(byte)
             if got is None:
                 got = self.step(state, byte)
             state = got[0]
             total += got[1]
+        return state, total
+
+    def count(self, text: bytes) -> int:
+        """Tokens of a pre-token; a long one's chunks are looked up in the maps of chunks seen before."""
+        if len(text) <= BYTES:
+            return self.run(0, text)[1]
+        state = total = 0
+        for i in range(0, len(text), BYTES):
+            key = state, text[i : i + BYTES]
+            got = self.maps.get(key)
+            if got is None:
+                if len(self.maps) >= COMPILED:
+                    self.maps.clear()
+                got = self.maps[key] = self.run(*key)
+            state, total = got[0], total + got[1]
         return total
 
 
+class Known:
+    """Numbers by 64-bit hash: open addressing over arrays, for many hashes at once."""
+
+    def __init__(self, slots: int = REMEMBER):
+        self.mask = slots - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.held = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash (none is 0), -1 if it isn't there."""
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        found = self.keys[at]
+        out = np.where(found == h, self.values[at], np.int32(-1))
+        left = np.flatnonzero((found != h) & (found != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            found = self.keys[at]
+            hit = found == h[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (found != 0)
+            left, at = left[on], at[on]
+        return out
+
+    def add(self, h: np.ndarray, value: np.ndarray) -> None:
+        """Distinct hashes that aren't there yet."""
+        if self.held + len(h) > (self.mask + 1) // 2:
+            self.clear()
+        if len(h) > (self.mask + 1) // 2:
+            return
+        self.held += len(h)
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        while len(h):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[free]
+            mine = self.keys[at] == h
+            self.values[at[mine]] = value[mine]
+            h, value, at = h[~mine], value[~mine], (at[~mine] + 1) & self.mask
+
+
 class Counter:
     """Tokens of texts, with what a worker has counted before."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.merges, self.known = Merges(ranks), {}
+        self.merges, self.known = Merges(ranks), Known()
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each of the texts."""
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(n, np.int64)
-        lead = (data & 0xC0) != 0x80
-        at = np.flatnonzero(lead)  # byte of each character
-        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        raw = data.tobytes()
+        at = np.flatnonzero((data & 0xC0) != 0x80)  # byte of each character
+        code = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         ends = np.searchsorted(at, offsets[1:])  # characters up to the end of each text
-        marked = np.insert(code, ends, 0x110000)
-        starts = boundaries(classes(marked))
-        starts = np.delete(starts, ends + np.arange(n))
-        first = at[starts]
-        last = np.append(first[1:], len(data))
-        doc = np.searchsorted(offsets, first, side="right") - 1
+        starts = pretokens(classes(np.insert(code, ends, 0x110000)))
+        upto = np.searchsorted(starts, ends + np.arange(n))  # pre-tokens up to the end of each text
+        # A mark of an end shifts the characters after it by one; no pre-token starts at a mark.
+        first = at[starts - np.repeat(np.arange(n), np.diff(upto, prepend=0))]
         # A pre-token ends with its text: the next one starts where the next text with any does.
-        h = run_hashes(data, first, last)
-        distinct, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        known, raw = self.known, data.tobytes()
-        if len(known) > REMEMBER:
-            known.clear()
-        if len(self.merges.states) > COMPILED:
-            self.merges.forget()
-        counts = []
-        for x, i in zip(distinct.tolist(), index.tolist()):
-            c = known.get(x)
-            if c is None:
-                c = known[x] = self.merges.count(raw[first[i] : last[i]])
-            counts.append(c)
-        return np.bincount(doc, weights=np.array(counts, np.int64)[inverse], minlength=n).astype(np.int64)
+        last = np.append(first[1:], len(data))
+        h = np.maximum(run_hashes(data, first, last), np.uint64(1))
+        counts = self.known.find(h).astype(np.int64)
+        new = np.flatnonzero(counts < 0)
+        if len(new):
+            if len(self.merges.states) > COMPILED:
+                self.merges.forget()
+            distinct, index, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            index = new[index]
+            got = np.array([self.merges.count(raw[a:b]) for a, b in zip(first[index].tolist(), last[index].tolist())], np.int64)
+            counts[new] = got[inverse]
+            self.known.add(distinct, got)
+        # Each text starts in the start state, so its map is the difference of the scanned sums.
+        sums = np.append(0, np.cumsum(counts))
+        return np.diff(sums[upto], prepend=0)
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -311,7 +442,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", name: str = "n_tokens",
     """*docs* with the tokens of each text as *name*; the vocabulary's file must be there on every executor."""
     held = fresh(docs, "__tokens")
     got = docs.withColumn(held, _counts(vocabulary)(F.col(f"`{text_col}`")))
-    return got.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()], F.col(held).alias(name))
+    return with_columns(got, {name: F.col(held)}, drop=[held])
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -91,9 +91,45 @@ def test_counts_survive_forgetting():
 def test_prefix_scan_equals_one_pass():
     rng = np.random.default_rng(2)
     cls = rng.integers(0, 11, 5000).astype(np.uint8)
-    one = tokens.boundaries(cls, 5000)
-    for chunk in (1, 7, 256):
-        assert (tokens.boundaries(cls, chunk) == one).all()
+    nxt, emit = tokens.boundary_tables()
+    state, want = tokens._START, set()
+    for i, c in enumerate(cls):
+        want |= {i} if emit[c, state] & 1 else set()
+        want |= {i - 1} if emit[c, state] & 2 else set()
+        state = nxt[c, state]
+    cls = np.append(cls, [10] * 4)  # what is pending at the end is emitted by an end of text
+    for chunk in (4, 8, 256, 8192):
+        got = set(tokens.pretokens(cls, chunk).tolist())
+        assert want <= got <= want | {4999}
+
+
+def test_seams_equal_plain_encoding():
+    ranks = tokens.load(tokens.VOCABULARY)
+    m, rng = tokens.Merges(ranks), random.Random(6)
+    vocabulary = sorted(ranks)
+    texts = "".join(pd.read_parquet(f"{SF}/documents.parquet")["text"].head(200)).encode()
+    pairs = [(rng.choice(vocabulary), rng.choice(vocabulary)) for _ in range(5000)]
+    for _ in range(20_000):  # parts of real words, where most seams lie
+        i = rng.randrange(len(texts) - 14)
+        j, k = i + rng.randrange(1, 7), rng.randrange(1, 7)
+        pairs.append((texts[i:j], texts[j : j + k]))
+    checked = 0
+    for a, b in pairs:
+        if a in ranks and b in ranks:
+            assert m.agree(a, b) == (m.merged(a + b) == [a, b]), (a, b)
+            checked += 1
+    assert checked > 6000
+
+
+def test_known_counts():
+    rng = np.random.default_rng(4)
+    known, h = tokens.Known(1 << 10), np.unique(rng.integers(1, 1 << 12, 400).astype(np.uint64))
+    known.add(h, np.arange(len(h)))
+    assert (known.find(h) == np.arange(len(h))).all()
+    assert (known.find(np.arange(1 << 13, 1 << 14, dtype=np.uint64)) == -1).all()
+    more = np.arange(1 << 12, (1 << 12) + 500, dtype=np.uint64)
+    known.add(more, np.ones(500))
+    assert (known.find(more) == 1).all() and known.held == 500
 
 
 # ---- quality rules
