@@ -14,8 +14,12 @@ only if the bytes have the structure of a secret:
 - ``openssh``: the OpenSSH magic followed by length-prefixed strings;
 - ``checked_token``: a prefixed token whose last six base-62 digits are the CRC-32
   of what stands before them;
-- ``access_key_id``: a cloud key's prefix and 16 base-32 digits, which decode to an
-  account field of six bytes and a serial part that isn't empty;
+- ``access_key_id``: a cloud key's prefix and 16 base-32 digits, whose bytes hold
+  an account number of at most twelve digits that isn't 0.
+
+Besides these, whose basis is ``structure``, values without any structure are reported
+with the basis ``assignment``, so that they can be told apart:
+
 - ``raw_key``: the value of an assignment to a key (not a public one), token,
   secret or password, quoted or not, in hex or base64, that decodes to a usual
   number of key bytes which are neither text nor repetitive. In base64 it must
@@ -30,7 +34,8 @@ base64 of anything else are not reported.
 Defined results: null and empty texts have no findings. Offsets count characters
 of the text. A secret that appears twice is reported at both places; overlapping
 candidates are reported once, the first and longest. Rows are scanned one by one,
-whole, whatever repeats; null ids are reported as null.
+whole, whatever repeats; null ids are reported as null. Ids that aren't whole numbers are
+returned as strings; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,25 +47,34 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Any text with a secret matches this; other texts don't leave the JVM.
-HINT = r"A[KS]IA[A-Z2-7]{16}|[A-Za-z0-9+/=_-]{22}|-----BEGIN |[0-9a-fA-F]{16}"
+from .common import id_kind, id_of, text_slices
+from .vec import runs
+
+#: Kinds that rest on an assignment, not on structure.
+ASSIGNED = ("raw_key", "password")
+#: Every secret has so many of these signs in a row, or this frame; other texts aren't searched.
+RUN, FRAME = 15, "-----BEGIN "
+_SIGNS = np.zeros(256, bool)
+_SIGNS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-.")] = True
 _ESCAPE = re.compile(r"\\+(?:r\\+n|[nr])")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----))*)-----END \1PRIVATE KEY-----")
 #: Where a run begins: not inside another, but right after a written escape.
 _FROM = r"(?:(?<=\\[nrt])|(?<![0-9A-Za-z{}])(?!(?<=\\)[nrt]))"
 _JWT = re.compile(_FROM.format("_-") + r"(eyJ[\w-]+)\.(eyJ[\w-]+)\.([\w-]*)(?![\w-])", re.A)
-_HEX = re.compile(_FROM.format("+/_-") + r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z+/=_-])")
+_HEX = re.compile(_FROM.format("+/_-") + r"[0-9A-Fa-f]{32,}(?![0-9A-Za-z+/=_-])")
 _BLOB = re.compile(_FROM.format("+/_-") + r"[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
 #: base64 of "-----BEGIN ", over lines.
 _WRAPPED = re.compile(_FROM.format("+/_-") + r"LS0tLS1CRUdJTi[A-Za-z0-9+/]+(?:(?:\s|\\+[rn])+(?!LS0tLS1CRUdJTi)[A-Za-z0-9+/]+)*={0,2}")
 _CHECKED = re.compile(_FROM.format("") + r"([a-z]{2,5}_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _CLOUD = re.compile(_FROM.format("+/_-") + r"A[KS]IA([A-Z2-7]{16})(?![0-9A-Za-z+=_-]|/(?!\d{8}/))")  # signed requests have a date after it
 _NAME = r"(?:(?<!pub)(?<!public)(?<!pub[ _-])(?<!public[ _-])key|token|secret|passw(?:or)?d|pwd|credential)s?[\\\"']*\s*(?::=|=>?|:)\s*[\\\"']*"
-_NAMED = re.compile(_NAME + r"\Z", re.I)
+_NAMED = re.compile(rf"(?i:{_NAME})(?=[0-9A-Fa-f]{{32}})")
 _ASSIGNED = re.compile(rf"(?i:{_NAME})([A-Za-z0-9+/_-]{{22,}}={{0,2}})(?![A-Za-z0-9+/=_-])")
 _PASSWORD = re.compile(r"(?:passw(?:or)?d|passphrase|pwd)[\"']?\s*[:=]\s*[\"']?([0-9a-f]{16,}|[0-9A-F]{16,})(?![0-9A-Za-z])", re.I)
 _BASE62 = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")}
@@ -181,6 +195,11 @@ def _jwt(m: re.Match) -> bool:
     return sizes is not None and len(signature) in sizes
 
 
+def _account(digits: str) -> int:
+    """The account number in a cloud key id: 40 bits after the first."""
+    return int.from_bytes(base64.b32decode(digits)[:6]) >> 7 & (1 << 40) - 1
+
+
 def _random(data: bytes) -> bool:
     """Neither text nor repetitive."""
     return len(set(data)) > len(data) // 3 and not all(9 <= b < 127 for b in data)
@@ -247,15 +266,16 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             value = value * 62 + _BASE62[c]
         if value == zlib.crc32(m[2].encode()):
             found.append((m.start(), m.end(), "checked_token"))
-    found += [(m.start(), m.end(), "access_key_id") for m in _CLOUD.finditer(text) if any(base64.b32decode(m[1])[6:])]
+    found += [(m.start(), m.end(), "access_key_id") for m in _CLOUD.finditer(text) if 0 < _account(m[1]) < 10**12]
     for m in _PASSWORD.finditer(text):
         if len(m[1]) % 2 == 0 and _random(bytes.fromhex(m[1])):
             found.append((m.start(1), m.end(1), "password"))
+    named = {m.end() for m in _NAMED.finditer(text)}
     for m in _HEX.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
             kind = bytes_kind(data)
-            if kind is None and _raw(data) and _NAMED.search(text, max(0, m.start() - 40), m.start()):
+            if kind is None and m.start() in named and _raw(data):
                 kind = "raw_key"
             if kind:
                 found.append((m.start(), m.end(), kind))
@@ -272,21 +292,26 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
+def searched(text: pa.Array) -> np.ndarray:
+    """Rows of the texts that may hold a secret."""
+    rows = [np.flatnonzero(pc.match_substring(text, FRAME).fill_null(False).to_numpy(zero_copy_only=False))]
+    for data, offsets, at in text_slices(text):
+        starts, ends = runs(data, offsets, _SIGNS)
+        rows.append(at + np.searchsorted(offsets, starts[ends - starts >= RUN], side="right") - 1)
+    return np.unique(np.concatenate(rows))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, at, end, kind = [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            for a, b, k in find(text):
-                rows.append(i)
-                at.append(a)
-                end.append(b)
-                kind.append(k)
+        text = batch.column(1)
+        found = [(i, *f) for i in searched(text).tolist() for f in find(text[i].as_py())]
+        rows, at, end, kind = zip(*found) if found else ((), (), (), ())
         ids = batch.column(0).take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array(end, pa.int64()), pa.array(kind, pa.string())], names=["id", "start", "end", "kind"])
+        basis = ["assignment" if k in ASSIGNED else "structure" for k in kind]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(at, pa.int64()), pa.array(end, pa.int64()), pa.array(kind, pa.string()), pa.array(basis, pa.string())], names=["doc_id", "start", "end", "kind", "basis"])
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, kind): a row for each confirmed secret, never its value."""
-    text = F.col(f"`{text_col}`")
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).where(F.col("text").rlike(HINT))
-    return slim.mapInArrow(_scan, "id long, start long, end long, kind string").withColumnRenamed("id", "doc_id")
+    """(doc_id, start, end, kind, basis): a row for each secret, never its value."""
+    slim = docs.select(id_of(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text <> ''")
+    return slim.mapInArrow(_scan, f"doc_id {id_kind(docs, id_col)}, start long, end long, kind string, basis string")
