@@ -15,28 +15,34 @@ The weights are fitted by conditional likelihood on generated sentences of a
 fixed seed, when the operator is called; nothing is downloaded.
 
 Defined results: a null text stays null and has no entities; an empty text stays
-empty. Offsets count characters. A region's program is linear in its length, so
-very long texts are one like any other. Repeated rows are treated alike. Other
-columns pass through whatever their names.
+empty. Offsets count characters. A region's program is linear in its length and holds
+the last KEEP atoms and the entities, so very long texts are ones like any other.
+Repeated rows are treated alike, null ids too. Other columns pass through; one named
+like the entities stays under a free name, _entities.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from heapq import merge
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, texts, with_columns
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 #: All patterns but that of addresses end well before it: the longest IBAN in groups has 17 atoms.
 MAX_ATOMS = 24
 MAX_EMAIL = 254
+#: Atoms that a region's program takes at a time, and those before them that a segment among them can reach:
+#: an address has at most MAX_EMAIL characters on either side of its sign.
+BLOCK, KEEP = 4096, 512
 _ATOM = re.compile(r"[^\W_]+|\s+|.", re.S)
 _HINT = re.compile(r"[0-9@]+")
 _GAP = re.compile(r"\s+")
@@ -110,27 +116,27 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def regions(text: str) -> list[tuple[int, int]]:
+def regions(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the runs of words that hold a digit or an at sign or are part of what may be an IBAN, with no empty line between them."""
-    hints = [(m.start(), m.end()) for m in _HINT.finditer(text)]
-    hints += [m.span() for at in _IBAN_START.finditer(text) if (m := _IBAN_WIDE.match(text, at.start()))]
-    out: list[list[int]] = []
+    ibans = (m.span() for at in _IBAN_START.finditer(text) if (m := _IBAN_WIDE.match(text, at.start())))
+    first = last = 0
     n = len(text)
-    for a, b in sorted(hints):
-        low = out[-1][1] if out else 0
-        if b <= low:
+    for a, b in merge((m.span() for m in _HINT.finditer(text)), ibans):
+        if b <= last:
             continue
-        a = max(a, low)
-        while a > low and not text[a - 1].isspace():
+        a = max(a, last)
+        while a > last and not text[a - 1].isspace():
             a -= 1
         while b < n and not text[b].isspace():
             b += 1
-        gap = text[low:a]
-        if out and not gap.strip() and gap.count("\n") < 2:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+        gap = text[last:a]
+        if not last or gap.strip() or gap.count("\n") > 1:
+            if last:
+                yield first, last
+            first = a
+        last = b
+    if last:
+        yield first, last
 
 
 def candidates(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -160,8 +166,8 @@ def candidates(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]
     return sorted(out)
 
 
-def cut(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    return [(start + m.start(), start + m.end()) for m in _ATOM.finditer(text[start:end])]
+def cut(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _ATOM.finditer(text, start, end))
 
 
 # ---- fitting -------------------------------------------------------------
@@ -243,39 +249,52 @@ class Model:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
+        self.sums: dict[tuple[str, ...], np.ndarray] = {}
 
     def score(self, text: str, start: int, end: int) -> np.ndarray:
-        at = [self.names[f] for f in span_features(text, start, end) if f in self.names]
-        return self.weights[at].sum(axis=0)
+        found = tuple(span_features(text, start, end))
+        got = self.sums.get(found)
+        if got is None:
+            if len(self.sums) > 100_000:
+                self.sums.clear()
+            got = self.sums[found] = self.weights[[self.names[f] for f in found if f in self.names]].sum(axis=0)
+        return got
 
     def decode(self, text: str, start: int, end: int) -> list[tuple[int, int, str]]:
         """The best segmentation of a region: its entities in order."""
-        atoms = cut(text, start, end)
-        by_end: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for i, j in candidates(text, atoms):
-            by_end.setdefault(j, []).append((i, self.score(text, atoms[i][0], atoms[j - 1][1])))
-        if not by_end:
-            return []
-        n, k = len(atoms), len(TYPES) + 1
-        best = np.full((n + 1, k), -np.inf)
-        best[0, 0] = 0
-        back: list[list[tuple[int, int] | None]] = [[None] * k for _ in range(n + 1)]
-        for p in range(1, n + 1):
-            come = best[p - 1] + self.moves[:, 0]
-            u = int(come.argmax())
-            best[p, 0], back[p][0] = come[u], (p - 1, u)
-            for i, score in by_end.get(p, ()):
-                come = best[i][:, None] + self.moves[:, 1:]
-                u = come.argmax(axis=0)
-                got = come[u, range(k - 1)] + score
-                for t in np.flatnonzero(got > best[p, 1:]):
-                    best[p, t + 1], back[p][t + 1] = got[t], (i, int(u[t]))
-        out, p, t = [], n, int(best[n].argmax())
-        while p:
-            i, u = back[p][t]
-            if t:
-                out.append((atoms[i][0], atoms[p - 1][1], TYPES[t - 1]))
-            p, t = i, u
+        source, atoms, k = cut(text, start, end), [], len(TYPES) + 1
+        # For each of the last places, by type of what ends there: the best score, and its entities as (those before, the last).
+        best: list[np.ndarray] = [np.where(np.arange(k) == 0, 0.0, -np.inf)]
+        path: list[list[tuple | None]] = [[None] * k]
+        while new := list(islice(source, BLOCK)):
+            old = len(atoms)
+            atoms += new
+            by_end: dict[int, list[tuple[int, np.ndarray]]] = {}
+            enter: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by place: the best score of a segment of each type that starts there, and the type before
+            for i, j in candidates(text, atoms):
+                if j > old:
+                    by_end.setdefault(j, []).append((i, self.score(text, atoms[i][0], atoms[j - 1][1])))
+            for p in range(old + 1, len(atoms) + 1):
+                come = best[p - 1] + self.moves[:, 0]
+                u = int(come.argmax())
+                top, ways = np.full(k, -np.inf), [None] * k
+                top[0], ways[0] = come[u], path[p - 1][u]
+                for i, score in by_end.get(p, ()):
+                    if i not in enter:
+                        come = best[i][:, None] + self.moves[:, 1:]
+                        u = come.argmax(axis=0)
+                        enter[i] = come[u, range(k - 1)], u
+                    come, u = enter[i]
+                    got = come + score
+                    for t in np.flatnonzero(got > top[1:]):
+                        top[t + 1], ways[t + 1] = got[t], (path[i][u[t]], (atoms[i][0], atoms[p - 1][1], TYPES[t]))
+                best.append(top)
+                path.append(ways)
+            del atoms[:-KEEP], best[: -KEEP - 1], path[: -KEEP - 1]
+        out, way = [], path[-1][int(best[-1].argmax())]
+        while way:
+            way, entity = way
+            out.append(entity)
         return out[::-1]
 
     def find(self, text: str | None) -> list[tuple[int, int, str]]:
@@ -296,7 +315,7 @@ def fitted(sentences: int = 500, steps: int = 60, seed: int = 7, l2: float = 1e-
     k, regions_ = len(TYPES) + 1, []
     for text, gold in generated(sentences, seed):
         for a, b in regions(text):
-            atoms = cut(text, a, b)
+            atoms = list(cut(text, a, b))
             n = len(regions_)
             regions_.append(len(atoms))
             first, last = {s: i for i, (s, _) in enumerate(atoms)}, {e: i + 1 for i, (_, e) in enumerate(atoms)}
@@ -373,7 +392,7 @@ def redacted(docs: DataFrame, text_col: str = "text", entities_name: str | None
     @F.arrow_udf("struct<text: string, entities: array<struct<start: int, end: int, type: string>>>")
     def find(text: pa.Array) -> pa.Array:
         new, all_found = [], []
-        for t in text.to_pylist():
+        for t in texts(text):
             found = model.find(t) if t else []
             new.append(masked(t, found) if found else None)
             all_found.append([{"start": a, "end": b, "type": k} for a, b, k in found])
@@ -385,13 +404,8 @@ def redacted(docs: DataFrame, text_col: str = "text", entities_name: str | None
     # Only texts with a digit or an at sign leave the JVM.
     got = docs.withColumn(held, find.asNondeterministic()(F.when(text.rlike("[0-9@]"), text)))
     new = F.col(held)["text"]
-    cols = []
-    for c in docs.columns:
-        col = F.col(f"`{c}`")
-        if c == text_col:
-            col = F.coalesce(new, col)
-        elif c == length_col:
-            col = F.when(new.isNotNull(), F.length(new)).otherwise(col).cast(docs.schema[c].dataType)
-        cols.append(col.alias(c))
-    extra = [F.col(held)["entities"].alias(entities_name)] if entities_name else []
-    return got.select(*cols, *extra)
+    changed = {text_col: F.coalesce(new, text)}
+    if length_col:
+        changed[length_col] = F.when(new.isNotNull(), F.length(new)).otherwise(F.col(f"`{length_col}`")).cast(docs.schema[length_col].dataType)
+    got = got.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns], F.col(held)["entities"].alias(held))
+    return with_columns(got, {entities_name: F.col(held)} if entities_name else {}, drop=[held])
