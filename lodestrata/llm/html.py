@@ -14,8 +14,8 @@ density are good. The text is the good blocks, a line for each.
 Defined results: null or empty html gives an empty text and no blocks. Pages
 without tags are one block. A tag that doesn't close is text; an unclosed
 script or comment lasts to the end. Repeated rows are treated alike, null ids
-stay, other columns pass through whatever their names, and pages of any length
-are read whole in linear time.
+stay, and pages of any length are read whole in linear time. Other columns pass
+through; one named like a new column stays under a free name, such as _text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, texts, with_columns
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -160,11 +160,10 @@ def extracted(pages: DataFrame, html_col: str = "html", name: str = "text", rule
 
     @F.arrow_udf("struct<text: string, blocks: int, good: int>")
     def extract(html: pa.Array) -> pa.Array:
-        got = [main_text(h, rules) for h in html.to_pylist()]
+        got = [main_text(h, rules) for h in texts(html)]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())], names=["text", "blocks", "good"])
 
     held = fresh(pages, "__extracted")
     got = pages.withColumn(held, extract.asNondeterministic()(F.col(f"`{html_col}`")))
     new = {name: "text", "n_blocks": "blocks", "n_good": "good"}
-    stays = [c for c in pages.columns if c != html_col and c.lower() not in {k.lower() for k in new}]
-    return got.select(*[F.col(f"`{c}`") for c in stays], *[F.col(held)[v].alias(k) for k, v in new.items()])
+    return with_columns(got, {k: F.col(held)[v] for k, v in new.items()}, drop=[held, html_col])
