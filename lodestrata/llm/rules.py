@@ -5,15 +5,19 @@ are tried in order; the first that holds rejects the document, and if none does
 it is kept. A rule grows on two thirds of the labelled statistics not yet
 covered, by the threshold with the most FOIL gain, until it covers no good
 document; it is then pruned on the other third by dropping last conditions
-while (rejected bad - rejected good) / all rejected doesn't fall. Learning ends
-when a rule's precision there is below *precision*. The list is emitted as one
-Spark conditional expression.
+while (rejected bad - rejected good) / all rejected doesn't fall. A rule that is there
+less precise than *precision*, with one more error than was seen, isn't taken, and the
+bad documents that it covers are set aside. Learning ends when no bad documents are
+left; there is no fixed number of rules. The list is emitted as one Spark
+conditional expression.
 
 Defined results: a null or empty text has statistics of 0. Labels with a null
 id or quality are left out; of labels that repeat an id the lowest quality
 counts. Without labelled documents the list is empty and keeps all. Ties
 between thresholds go to the first statistic by name and the lower threshold.
-Repeated rows are judged alike; other columns pass through whatever their names.
+Ids of the labels are compared under the type of the documents' ids. Repeated rows
+are judged alike. Other columns pass through; one named like a new column stays under a
+free name, _rule or _stats.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, text_slices
+from .common import fresh, id_kind, id_of, text_slices, with_columns
 from .ordinal import sample
 from .vec import VISIBLE, bags, run_hashes, runs, doc_of
 
@@ -34,7 +38,8 @@ STATISTICS = ("chars", "digit_share", "distinct_words", "echo_share", "letter_sh
 #: Labelled documents of each quality that learning takes at most.
 PER_CLASS = 3000
 PRECISION = 0.9
-MAX_RULES, MAX_CONDITIONS = 12, 4
+#: Conditions of a rule at most, so that people can read it.
+MAX_CONDITIONS = 4
 
 _LINE = np.ones(256, bool)
 _LINE[10] = False
@@ -45,24 +50,19 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[192:] = 1
 for _c in b"#$%&*+/<=>@[\\]^_`{|}~!":
     _SYMBOL[_c] = 1
 _LEAD[:128] = _LEAD[192:] = 1
-_PACKED = [sum(k.astype(np.uint64) << np.uint64(21 * i) for i, k in enumerate(kinds)) for kinds in ((_LEAD, _LETTER, _SYMBOL), (_UPPER, _DIGIT))]
+#: Two counts in the halves of each word.
+_PACKED = [a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32) for a, b in ((_LEAD, _LETTER), (_SYMBOL, _UPPER), (_DIGIT, _DIGIT))]
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """STATISTICS of each text; shares are of its characters, words or lines."""
     n = len(offsets) - 1
-    if len(data) < 1 << 21:  # three sums of 21 bits in one word
-        first = np.append(np.uint64(0), np.cumsum(_PACKED[0][data]))
-        second = np.append(np.uint64(0), np.cumsum(_PACKED[1][data]))
-        low = np.uint64((1 << 21) - 1)
-        field = lambda sums, i: ((sums >> np.uint64(21 * i)) & low).astype(np.int64)
-        lead = lambda at: field(first[at], 0)
-        total = lambda sums, i: np.diff(field(sums[offsets], i)).astype(float)
-        chars, letters, symbols, uppers, digits = total(first, 0), total(first, 1), total(first, 2), total(second, 0), total(second, 1)
-    else:
-        each = [np.append(0, np.cumsum(kind[data], dtype=np.int64)) for kind in (_LEAD, _LETTER, _SYMBOL, _UPPER, _DIGIT)]
-        lead = lambda at: each[0][at]
-        chars, letters, symbols, uppers, digits = (np.diff(e[offsets]).astype(float) for e in each)
+    sums = [np.append(np.uint64(0), np.cumsum(kind[data], dtype=np.uint64)) for kind in _PACKED]
+    low = lambda x: (x & np.uint64((1 << 32) - 1)).astype(np.int64)
+    high = lambda x: (x >> np.uint64(32)).astype(np.int64)
+    total = lambda half, i: np.diff(half(sums[i][offsets])).astype(float)
+    lead = lambda at: low(sums[0][at])
+    chars, letters, symbols, uppers, digits = total(low, 0), total(high, 0), total(low, 1), total(high, 1), total(low, 2)
     size = np.maximum(chars, 1)
     starts, ends = runs(data, offsets, VISIBLE)
     doc = doc_of(starts, offsets)
@@ -138,13 +138,13 @@ def _best(x: dict[str, np.ndarray], bad: np.ndarray) -> Condition | None:
     return best
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISION, max_rules: int = MAX_RULES) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISION) -> list[Rule]:
     """The ordered rules that reject, from statistics and whether each row is bad; rows i with i % 3 == 2 prune."""
     rules: list[Rule] = []
     rest = np.ones(len(bad), bool)
     third = np.arange(len(bad)) % 3 == 2
     take = lambda m: ({k: v[m] for k, v in x.items()}, bad[m])
-    while len(rules) < max_rules and (rest & bad & ~third).any():
+    while (rest & bad & ~third).any():
         g, gb = take(rest & ~third)
         rule: Rule = ()
         now = np.ones(len(gb), bool)
@@ -154,7 +154,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISIO
                 break
             rule += (c,)
             now = now & c.holds(g)
-        if not rule:
+        if not rule:  # what is left can't be told from good documents, or there are none of them
             break
         q, qb = take(rest & third)
 
@@ -164,10 +164,12 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISIO
 
         rule = max((rule[:i] for i in range(1, len(rule) + 1)), key=lambda r: (value(r), -len(r)))
         hit = covers(rule, q)
-        if not hit.any() or qb[hit].mean() < precision:
-            break
+        covered = covers(rule, x)
+        if qb[hit].sum() < precision * (hit.sum() + 1):
+            rest &= ~(covered & bad)
+            continue
         rules.append(rule)
-        rest &= ~covers(rule, x)
+        rest &= ~covered
     return rules
 
 
@@ -191,14 +193,16 @@ def _statistics(text: pa.Array) -> pa.Array:
 
 
 def with_statistics(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
-    return docs.withColumn(name, _statistics.asNondeterministic()(F.col(text_col)))
+    """*docs* with the statistics of each text as a struct."""
+    return with_columns(docs, {name: _statistics.asNondeterministic()(F.col(f"`{text_col}`"))})
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, precision: float = PRECISION) -> list[Rule]:
     """Learn from at most *per_class* labelled documents of each quality, those whose ids hash lowest."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("good"))
+    kind = id_kind(docs, id_col)
+    good = labels.where(F.col("quality").isNotNull()).groupBy(id_of(labels, "doc_id", kind).alias("id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("good")).where("id is not null")
     chosen = F.broadcast(sample(good, per_class, 2, "good"))  # 2 * per_class rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    rows = docs.select(id_of(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id")
     got = with_statistics(rows, "stats").select("id", "good", F.xxhash64("id").alias("h"), "stats.*").toPandas().sort_values(["h", "id", *STATISTICS]).drop_duplicates("id")
     return learn({s: got[s].to_numpy(float) for s in STATISTICS}, got["good"].to_numpy(int) == 0, precision)
 
@@ -206,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text", rule_name: str = "rule", stats_name: str = "stats") -> DataFrame:
     """*docs* with their statistics and the number of the rule that rejects them, 0 for none."""
     out = with_statistics(docs, stats_name, text_col)
-    return out.withColumn(rule_name, expression(rules, stats_name))
+    return with_columns(out, {rule_name: expression(rules, f"`{stats_name}`")})
 
 
 def select_documents(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
