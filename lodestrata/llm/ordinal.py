@@ -15,9 +15,11 @@ and is the same on every run.
 Defined results: a null text counts as empty; an empty text has no features and
 score 0. Labels with a null id or quality are left out, a null toxic counts as
 0, and of labels that repeat an id the lowest grade counts. Without labelled
-documents every document passes. Every input row is scored by itself, so
-repeated rows get equal scores, null ids are scored too, and other columns pass
-through untouched whatever their names.
+documents every document passes. Ids of the labels are compared under the type of
+the documents' ids; those that can't be cast to it are left out. Every input row is
+scored by itself, so repeated rows get equal scores, and null ids are scored too.
+Other columns pass through; one named like a new column stays under a free name,
+such as _tail_probability.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_slices
+from .common import fresh, id_kind, id_of, text_slices, with_columns
 from .vec import U, WORD, bags, doc_of, run_hashes, runs
 
 STEM = 4
@@ -163,11 +165,11 @@ def fit(sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarr
     return Model(weights, np.cumsum(np.append(theta[0], np.exp(theta[1:]))))
 
 
-def graded(labels: DataFrame) -> DataFrame:
-    """(id, grade) of the labels."""
+def graded(labels: DataFrame, kind: str = "bigint") -> DataFrame:
+    """(id, grade) of the labels; *kind* is the type of the ids."""
     quality, toxic = F.col("quality").cast("int"), F.coalesce(F.col("toxic").cast("int"), F.lit(0))
     grade = F.when(quality <= 0, 0).when(toxic > 0, 1).otherwise(2)
-    return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(grade).alias("grade"))
+    return labels.where(F.col("quality").isNotNull()).groupBy(id_of(labels, "doc_id", kind).alias("id")).agg(F.min(grade).alias("grade")).where("id is not null")
 
 
 def sample(labels: DataFrame, per_group: int, groups: int, by: str) -> DataFrame:
@@ -193,9 +195,10 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
     """Fit on at most *per_grade* labelled documents of each grade."""
-    chosen = F.broadcast(sample(graded(labels), per_grade, GRADES, "grade"))  # 3 * per_grade rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    got = texts.mapInArrow(_feature_rows, "id long, grade int, cols binary, vals binary").toArrow()
+    kind = id_kind(docs, id_col)
+    chosen = F.broadcast(sample(graded(labels, kind), per_grade, GRADES, "grade"))  # 3 * per_grade rows at most
+    texts = docs.select(id_of(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id")
+    got = texts.mapInArrow(_feature_rows, f"id {kind}, grade int, cols binary, vals binary").toArrow()
     best: dict[int, int] = {}  # of rows that repeat an id, the one whose features sort first
     ids, cols = got.column("id").to_pylist(), got.column("cols").to_pylist()
     for i, x in enumerate(ids):
@@ -221,8 +224,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", grade: int = G
         return pa.StructArray.from_arrays([pa.array(tails.sum(axis=1)), pa.array(tails[:, grade - 1])], names=["expected", "tail"])
 
     held = fresh(docs, "__score")
-    both = docs.withColumn(held, score.asNondeterministic()(F.col(text_col)))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(held)["expected"].alias(names[0]), F.col(held)["tail"].alias(names[1]))
+    both = docs.withColumn(held, score.asNondeterministic()(F.col(f"`{text_col}`")))
+    return with_columns(both, {names[0]: F.col(held)["expected"], names[1]: F.col(held)["tail"]}, drop=[held])
 
 
 def selected(docs: DataFrame, model: Model, text_col: str = "text", grade: int = GRADE, tail: float = TAIL, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
