@@ -8,12 +8,14 @@ threshold are kept: one filter, no sort of documents. Budgets are nested, and so
 are the documents of the tiers, since a larger budget has a higher threshold.
 
 A source's budget is its weight's part of the total, which is a share of the
-corpus's tokens; a source with fewer tokens gives all it has. Documents with
+corpus's tokens. A source with fewer tokens gives all it has, and what it leaves
+of its budget goes to the others by their weights, so that the total is met.
+Tokens are those of a tokenizer's vocabulary (tokens.py). Documents with
 equal hashes (repeated ids) are taken together or not at all.
 
 Defined results: a null source is a source of its own; a null text has 0
 tokens; a null id hashes as an empty string; an empty table gives none. Other
-columns pass through.
+columns pass through; one named like the tier stays under a free name, _tier.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, fresh, written
+from .common import few, fresh, with_columns, written
+from .tokens import VOCABULARY, with_counts
 
 #: Relative weights of the sources; others weigh DEFAULT_WEIGHT.
 WEIGHTS: Mapping[str, int] = {"src0": 4}
@@ -35,18 +38,30 @@ SEED = 17
 STEP, LEVELS = 12, 4
 
 
-def tokens(text_col: str = "text") -> Column:
-    """Estimated tokens: a quarter of the characters, rounded up."""
-    return F.coalesce(F.floor((F.length(F.col(text_col)) + 3) / 4), F.lit(0)).cast("long")
-
-
 def hash48(id_col: str = "doc_id", seed: int = SEED) -> Column:
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
 def _source(source_col: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
+
+
+def budgets(per: DataFrame, total_percent: int) -> DataFrame:
+    """(source, budget) of *per* (source, tokens, weight): the common rate is raised until no further source runs short."""
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    found = per.agg(F.sum("tokens"), F.sum("weight")).first()
+    total, short, weights = (found[0] or 0) * total_percent // 100, 0, found[1] or 0
+    while True:
+        rest = total - short
+        is_short = exact("tokens") * F.lit(weights) <= exact("weight") * F.lit(rest)
+        found = per.agg(F.sum(F.when(is_short, F.col("tokens"))), F.sum(F.when(~is_short, F.col("weight")))).first()
+        new = found[0] or 0, found[1] or 0
+        if not new[1] or new == (short, weights):
+            break
+        short, weights = new
+    part = F.lit(0) if not weights else F.floor(exact("weight") * F.lit(rest) / F.lit(weights))
+    return per.select("source", F.when(is_short, F.col("tokens")).otherwise(part).cast("long").alias("budget"))
 
 
 def thresholds(slim: DataFrame, weights: Mapping[str, int], default: int, total_percent: int, tiers: Sequence[int]) -> DataFrame:
@@ -55,9 +70,8 @@ def thresholds(slim: DataFrame, weights: Mapping[str, int], default: int, total_
     weight = F.lit(default)
     for name, w in weights.items():
         weight = F.when(F.col("source") == "=" + name, F.lit(int(w))).otherwise(weight)
-    per = first.groupBy("source").agg(F.sum("tokens").alias("tokens")).withColumn("weight", weight)
-    whole = per.agg(F.sum("tokens").alias("all"), F.sum("weight").alias("weights"))  # one row
-    budget = per.crossJoin(F.broadcast(whole)).select("source", F.expr(f"cast(`all` as bigint) * {int(total_percent)} div 100 * weight div weights").alias("budget"))
+    per = written(first.groupBy("source").agg(F.sum("tokens").alias("tokens")).withColumn("weight", weight.cast("long")), "sources")
+    budget = budgets(per, total_percent)
     bound = budget.select("source", F.posexplode(F.array(*[F.expr(f"budget * {int(t)} div 100") for t in tiers])).alias("tier", "rest")).select("source", F.lit(0).cast("long").alias("prefix"), (F.col("tier") + 1).alias("tier"), "rest")
     done = []
     for level in range(LEVELS):
@@ -81,29 +95,25 @@ def thresholds(slim: DataFrame, weights: Mapping[str, int], default: int, total_
     return out
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Mapping[str, int] = WEIGHTS, default: int = DEFAULT_WEIGHT, total_percent: int = TOTAL_PERCENT, tiers: Sequence[int] = TIERS, tier_name: str | None = "tier") -> DataFrame:
-    """The rows of *docs* within the largest budget, with the least tier that holds each as *tier_name* (none if None)."""
-    slim = written(docs.select(_source(source_col).alias("source"), hash48(id_col).alias("h"), tokens(text_col).alias("tokens")), "slim")
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Mapping[str, int] = WEIGHTS, default: int = DEFAULT_WEIGHT, total_percent: int = TOTAL_PERCENT, tiers: Sequence[int] = TIERS, tier_name: str | None = "tier", tokens_col: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The rows of *docs* within the largest budget, with the least tier that holds each as *tier_name* (none if None).
+
+    Tokens are read from *tokens_col*, or counted in the texts where it is None.
+    """
+    if tokens_col is None:
+        tokens_col = fresh(docs, "__tokens")
+        counted = with_counts(docs.select(*{f"`{c}`": 0 for c in (id_col, source_col, text_col)}), text_col, tokens_col, vocabulary)
+    else:
+        counted = docs
+    slim = written(counted.select(_source(source_col).alias("source"), hash48(id_col).alias("h"), F.coalesce(F.col(f"`{tokens_col}`").cast("long"), F.lit(0)).alias("tokens")), "slim")
     cut = thresholds(slim, weights, default, total_percent, tiers).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("tier", "threshold"))).alias("cuts"))
     cut = written(cut, "thresholds")
     key, cuts, tier = fresh(docs, "__key"), fresh(docs, "__cuts"), fresh(docs, "__tier")
     cut = few(cut.select(F.col("source").alias(key), F.col("cuts").alias(cuts)), cut.count())
     joined = docs.join(cut, _source(source_col) == F.col(key)).withColumn(tier, F.expr(f"get(filter({cuts}, c -> c.threshold > {hash48_sql(id_col)}), 0).tier")).where(F.col(tier).isNotNull())
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(tier).alias(tier_name)] if tier_name else []))
+    return with_columns(joined, {tier_name: F.col(tier)} if tier_name else {}, drop=[key, cuts, tier])
 
 
 def hash48_sql(id_col: str, seed: int = SEED) -> str:
     return f"cast(conv(substring(md5(concat('{seed}:', coalesce(cast(`{id_col}` as string), ''))), 1, 12), 16, 10) as bigint)"
 
-
-ORACLE = f"""
-with d as (select doc_id, source, (length(coalesce(text, '')) + 3) // 4 as tokens,
-                  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint as h from documents),
-per as (select source, sum(tokens) as tokens, case source when 'src0' then {WEIGHTS['src0']} else {DEFAULT_WEIGHT} end as weight from d group by source),
-budget as (select source, ((select sum(tokens) from per)::bigint * {TOTAL_PERCENT} // 100) * weight // (select sum(weight) from per)::bigint as budget from per),
-cum as (select *, sum(tokens) over (partition by source order by h range between unbounded preceding and current row) as upto from d)
-select c.doc_id, c.source, c.tokens::bigint as tokens,
-       case when upto <= budget * {TIERS[0]} // 100 then 1 when upto <= budget * {TIERS[1]} // 100 then 2 else 3 end::integer as tier
-from cum c join budget b on c.source is not distinct from b.source
-where upto <= budget * {TIERS[2]} // 100
-"""
