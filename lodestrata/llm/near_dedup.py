@@ -14,8 +14,10 @@ Defined results: a null or wordless text has an empty multiset and is no
 duplicate of anything. Rows with a null id can't be named and take no part.
 Rows that repeat an id are one document: each of its texts finds candidates,
 and the largest of its packed multisets is the one compared, so an id is never
-a duplicate of itself. Ties go to the smallest id. Input columns other than
-the id and the text are ignored.
+a duplicate of itself. Ties go to the smallest id; ids that aren't whole numbers
+are compared and returned as strings. Input columns other than the id and the
+text are ignored, and pass through drop_near_duplicates(), whatever their names.
+Texts of any length and counts of any size are compared whole.
 """
 
 from __future__ import annotations
@@ -28,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, fresh, lower_text, text_slices, written
-from .components import components
+from .buckets import linked
+from .common import few, fresh, id_kind, id_of, lower_text, text_slices, written
 from .vec import U, _GOLD, bags, mix, shingles, words
 
 SHINGLE = 2
 BANDS = 29  # finds a pair at the threshold with 0.904
 ROWS = 5
 THRESHOLD = 0.6
+#: The largest count that one word of a packed multiset holds; a larger one takes several.
+MOST = (1 << 24) - 1
 _HALF = 0.5 / 2**53
 
 
@@ -137,8 +141,18 @@ def _sketches(k: int, bands: int, rows: int):
     return run
 
 
+def packed_bag(element: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Words of 40 bits of the element and 24 of the count, in order; a count above MOST goes over several words."""
+    times = (count - 1) // MOST + 1
+    if times.max(initial=1) > 1:
+        last = np.zeros(int(times.sum()), bool)
+        last[np.cumsum(times) - 1] = True
+        element, count = np.repeat(element, times), np.where(last, np.repeat(count - (times - 1) * MOST, times), MOST)
+    return (element << U(24)) | count.astype(U)
+
+
 def _bag_bytes(k: int):
-    """The multiset as bytes: 5 of the element and 3 of the count for each distinct element, in order."""
+    """The multiset as bytes: a word for each distinct element, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,18 +160,24 @@ def _bag_bytes(k: int):
             for data, offsets, at in text_slices(batch.column(1)):
                 n = len(offsets) - 1
                 doc, element, count = slice_bags(data, offsets, k)
-                packed = (element << U(24)) | np.minimum(count, (1 << 24) - 1).astype(U)
                 ends = np.searchsorted(doc, np.arange(n), side="right")
                 starts = np.append(0, ends[:-1])
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array([packed[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["id", "bag"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array([packed_bag(element[a:b], count[a:b]).tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["id", "bag"])
 
     return run
 
 
+def unpacked(bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    element, count = bag >> U(24), (bag & U(MOST)).astype(np.int64)
+    if count.max(initial=0) == MOST:
+        first = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
+        element, count = element[first], np.add.reduceat(count, first)
+    return element, count
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two packed multisets."""
-    ea, eb = a >> U(24), b >> U(24)
-    ca, cb = (a & U((1 << 24) - 1)).astype(np.int64), (b & U((1 << 24) - 1)).astype(np.int64)
+    (ea, ca), (eb, cb) = unpacked(a), unpacked(b)
     _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
     low = int(np.minimum(ca[ia], cb[ib]).sum())
     high = int(ca.sum() + cb.sum()) - low
@@ -171,54 +191,26 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], names=["a", "b", "jaccard"])
 
 
-def similar(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
-    """Those of *pairs* (a, b) whose multisets in *bag* (id, bag) overlap by *threshold* or more."""
-    left = bag.select(F.col("id").alias("a"), F.col("bag").alias("bag_a"))
-    right = bag.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b")
-    return both.mapInArrow(_verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): every document of a group but its smallest id, with that id.
 
-    Groups are the connected components of the verified pairs. Documents with
-    equal multisets are first made one. In each bucket of a band every member
-    is held against the smallest id; a member that fails against it is held
-    against all others of the bucket unless they are already in its group, so
-    the components are those that all pairs of all buckets would give.
+    Groups are the connected components of the links that buckets.linked() finds;
+    any two documents that share a band and reach the threshold are in one.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), lower_text(text_col).alias("text")).where("id is not null")
-    sketch = written(texts.mapInArrow(_sketches(shingle, bands, rows), "id long, same long, keys array<long>"), "sketches")
-    # Equal multisets: one id for each stays, the others point at it.
-    named = sketch.groupBy("same").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n"))
-    equal = written(sketch.select("id", "same").join(named.where("n > 1").select("same", "rep"), "same").where("id <> rep").select("id", "rep").distinct(), "equal")
-    single = sketch.groupBy("same").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("id")).select("id", "keys")
-    bucket = (
-        single.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1).select(F.array_sort("ids").alias("ids")).distinct()
-    )
-    bucket = written(bucket, "buckets")
-    members = bucket.select(F.explode("ids").alias("id")).distinct()
-    n = members.count()
-    some = texts.join(few(members, n), "id", "left_semi")
-    bag = written(some.mapInArrow(_bag_bytes(shingle), "id long, bag binary").groupBy("id").agg(F.max("bag").alias("bag")), "bags")
-    star = bucket.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b")).distinct()
-    edges = written(similar(star, bag, threshold).select("a", "b"), "edges")
-    label = written(components(edges.unionByName(equal.select(F.col("rep").alias("a"), F.col("id").alias("b")))), "labels")
-    # What failed against the smallest id of its bucket, with the bucket's others.
-    of = lambda c: F.coalesce(f"label_{c}", c)
-    held = bucket.select(F.col("ids")[0].alias("a"), "ids", F.explode(F.slice("ids", 2, F.size("ids"))).alias("b"))
-    failed = held.join(edges, ["a", "b"], "left_anti").select(F.col("b").alias("x"), F.explode("ids").alias("y")).where("x <> y")
-    rest = failed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = rest.join(label.select(F.col("id").alias("a"), F.col("label").alias("label_a")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("label").alias("label_b")), "b", "left").where(of("a") != of("b"))
-    late = written(similar(rest.select("a", "b"), bag, threshold).select("a", "b"), "late")
-    if not late.isEmpty():
-        label = written(components(late.unionByName(label.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b")))), "labels")
+    kind = id_kind(docs, id_col)
+    texts = docs.select(id_of(docs, id_col).alias("id"), lower_text(text_col).alias("text")).where("id is not null")
+    sketch = written(texts.mapInArrow(_sketches(shingle, bands, rows), f"id {kind}, same bigint, keys array<bigint>"), "sketches")
+
+    def bags_of(ids: DataFrame) -> DataFrame:
+        some = texts.join(few(ids, ids.count()), "id", "left_semi")
+        return some.mapInArrow(_bag_bytes(shingle), f"id {kind}, bag binary").groupBy("id").agg(F.max("bag").alias("bag"))
+
+    label = linked(sketch, bags_of, _verify, threshold, kind).labels
     return label.where("id <> label").select(F.col("id").alias("doc_id"), F.col("label").alias("duplicate_of"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """*docs* without the duplicates; of rows that repeat an id all stay or go."""
-    gone, key = near_duplicates(docs, id_col, **kw), fresh(docs, "__gone")
+    gone, key = written(near_duplicates(docs, id_col, **kw), "duplicates"), fresh(docs, "__gone")
     gone = few(gone.select(F.col("doc_id").alias(key)), gone.count())
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
+    return docs.join(gone, id_of(docs, id_col) == F.col(key), "left_anti")

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lodestrata.llm import components, fingerprints, html, mixing, near_dedup, ordinal, packing, pii, rules, secrets, tokens
+from lodestrata.llm import buckets, common, components, fingerprints, html, mixing, near_dedup, ordinal, packing, pii, queries, rules, secrets, tokens
 from lodestrata.llm.common import text_slices
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,32 @@ def test_scores_equal_the_features_dot_weights():
     assert np.allclose(over(texts, lambda d, o: ordinal.scores(d, o, weights)), want, atol=1e-5)
 
 
+def test_ordinal_fit_reaches_the_least_loss():
+    """Against plain gradient descent with halved steps on the same penalised likelihood, written out row by row."""
+    rng = np.random.default_rng(5)
+    n, k = 240, 6
+    x = (rng.random((n, k)) < 0.4) * rng.random((n, k)).astype(np.float32)
+    grade = np.clip((x @ np.array([3, -2, 1, 0, 2, -1]) + rng.normal(size=n) * 0.7).round().astype(int), 0, 2)
+    weight = (1 / np.bincount(grade, minlength=3))[grade]
+    weight /= weight.sum()
+
+    def loss(p):
+        w, cuts = p[:k], np.array([p[k], p[k] + np.exp(p[k + 1])])
+        tails = np.column_stack([np.ones(n), 1 / (1 + np.exp(-(x @ w)[:, None] + cuts)), np.zeros(n)])
+        return -(weight * np.log(tails[np.arange(n), grade] - tails[np.arange(n), grade + 1])).sum() + 5e-4 / 2 * (w @ w) + 1e-3 / 2 * p[k + 1] ** 2
+
+    p, step = np.append(np.zeros(k), [-1.0, 0.0]), 1.0
+    for _ in range(2500):
+        grad = np.array([(loss(p + d) - loss(p - d)) / 2e-5 for d in np.eye(k + 2) * 1e-5])
+        while loss(p - step * grad) > loss(p):
+            step /= 2
+        p, step = p - step * grad, step * 1.3
+    rows, cols = np.nonzero(x)
+    got = ordinal.fit(np.bincount(rows, minlength=n), cols, x[rows, cols], grade, size=k, min_docs=1, steps=2000)
+    mine = np.append(got.weights, [got.thresholds[0], np.log(got.thresholds[1] - got.thresholds[0])])
+    assert loss(mine) <= loss(p) + 1e-4 and np.abs(mine[:k] - p[:k]).max() < 0.2
+
+
 # ---- token counts
 
 
@@ -146,6 +172,40 @@ def test_rules_find_planted_thresholds():
     assert (hit == bad).mean() > 0.98 and len(learned) <= 4
 
 
+def test_best_condition_by_trying_all():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        x = {s: rng.integers(0, 12, 60) / 4 for s in rules.STATISTICS}
+        bad = rng.random(60) < 0.2 + 0.5 * (x["words"] > 1.5)
+        base, top = np.log2(bad.mean()), 0
+        for s, v in x.items():
+            for t in np.unique(v):
+                for hit in (v <= t, v > t):
+                    if (p := (hit & bad).sum()) and hit.any() and not hit.all():
+                        top = max(top, p * (np.log2(p / hit.sum()) - base))
+        found = rules._best(x, bad)
+        hit = found.holds(x)
+        p = (hit & bad).sum()
+        assert abs(p * (np.log2(p / hit.sum()) - base) - top) < 1e-9
+
+
+def test_rules_go_on_after_an_imprecise_one():
+    """Many bad rows that no rule tells well, and twenty sharp kinds, each of its own."""
+    rng = np.random.default_rng(9)
+    n = 24_000
+    x = {s: rng.random(n) for s in rules.STATISTICS}
+    bad = (x["chars"] > 0.5) & (rng.random(n) < 0.6)
+    sharp = np.zeros(n, bool)
+    for i in range(20):
+        s, lo = rules.STATISTICS[1 + i % 9], 0.1 + 0.4 * (i // 9)
+        sharp |= (x[s] > lo) & (x[s] <= lo + 0.02) & (x["chars"] <= 0.5)
+    learned = rules.learn(x, bad | sharp)
+    hit = np.zeros(n, bool)
+    for r in learned:
+        hit |= rules.covers(r, x)
+    assert len(learned) > 12 and (hit & sharp).sum() > 0.8 * sharp.sum() and (hit & ~bad & ~sharp).sum() < 0.02 * n
+
+
 def test_rules_expression_equals_the_list(spark):
     rows = [(i, t) for i, t, _ in graded_texts(200, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -234,7 +294,7 @@ def test_pii_decoding_by_brute_force(crf):
     checked = 0
     for text, _ in pii.generated(150, 77):
         for a, b in pii.regions(text):
-            atoms = pii.cut(text, a, b)
+            atoms = list(pii.cut(text, a, b))
             spans = pii.candidates(text, atoms)
             if len(atoms) <= 16 and len(spans) <= 8:
                 assert crf.decode(text, a, b) == best(text, atoms, spans)
@@ -242,6 +302,20 @@ def test_pii_decoding_by_brute_force(crf):
     assert checked > 30
 
 
+def test_pii_in_blocks_equals_one(crf, monkeypatch):
+    text = " ".join(t for t, _ in pii.generated(60, 99)).replace("\n", " ")
+    want = crf.find(text)
+    for block in (1, 7, 100):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        assert crf.find(text) == want
+    assert len(want) > 60
+
+
+def test_pii_in_a_long_text_of_numbers(crf):
+    numbers = " ".join(str(i * 7919 % 100) for i in range(6_000))
+    assert crf.find(f"{numbers} 415-555-2671 {numbers} jo@example.org") == [(len(numbers) + 1, len(numbers) + 13, "PHONE"), (2 * len(numbers) + 15, 2 * len(numbers) + 29, "EMAIL")]
+
+
 def test_pii_entities_with_groups_of_letters_and_wide_gaps(crf):
     ibans = ["GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "SC18 SSCB 1101 0000 0000 0000 1497 USD", "DE89 3704 0044 0532 0130 00"]
     given = [(x, "IBAN") for iban in ibans for x in (iban, iban.replace(" ", ""))]
@@ -325,7 +399,9 @@ def test_bands_find_pairs_at_the_threshold():
         assert 1 - (1 - m.THRESHOLD**m.ROWS) ** m.BANDS >= 0.9
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 500])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "DRIVER_EDGES", most)
     rng = random.Random(10)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(7, 7), (1, 2)]
     label = {x: x for e in edges for x in e}
@@ -335,6 +411,8 @@ def test_components(spark):
     got = {r["id"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    named = components.components(spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "a string, b string")).collect()
+    assert {tuple(r) for r in named} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
 
 
 def test_fingerprints_against_all_pairs(spark):
@@ -343,44 +421,150 @@ def test_fingerprints_against_all_pairs(spark):
     for t in texts:
         w = t.split()
         sets.append(frozenset(zip(w, w[1:], w[2:])))
-    first = {}
-    for i, s in enumerate(sets):
-        first.setdefault(s, i)
-    want = {}
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        if sets[a] == sets[b]:
-            if first[sets[a]] == a:
-                want[a, b] = 1.0
-        elif first[sets[a]] == a and first[sets[b]] == b:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if j >= fingerprints.THRESHOLD:
-                want[a, b] = j
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in fingerprints.fingerprint_pairs(docs).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) > 30
-    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_classes(docs).collect()}
+    assert set(got) == set(range(len(texts)))
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(texts)), 2)}
+    label = list(range(len(texts)))
+    pairs = [p for p, j in alike.items() if j >= fingerprints.THRESHOLD]
+    for _ in texts:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert all(label[i] == label[r["class_id"]] for i, r in got.items())
+    assert sum(got[a]["class_id"] == got[b]["class_id"] for a, b in pairs) >= 0.97 * len(pairs) > 30
+    for i, r in got.items():
+        assert r["copy_of"] == min(j for j in got if sets[j] == sets[i])
+        near = {sets[j] for j in got if sets[j] != sets[i] and alike[min(i, j), max(i, j)] >= fingerprints.THRESHOLD}
+        assert r["links"] <= len(near) and (r["links"] > 0 or r["copy_of"] != i or sum(sets[j] == sets[i] for j in got) > 1 or r["class_id"] == i)
+        if r["jaccard"] is None:
+            assert r["class_id"] == i
+        else:
+            assert any(abs(alike[min(i, j), max(i, j)] - r["jaccard"]) < 1e-9 for j in got if j != i)
+
+
+def test_classes_grow_with_the_documents(spark):
+    rng, counts = random.Random(12), []
+    words = [f"w{i}" for i in range(500)]
+    first = [rng.choice(words) for _ in range(80)]
+    for n in (100, 400):
+        texts = [" ".join(rng.choice(words) if rng.random() < 0.05 else w for w in first) for _ in range(n)]
+        got = fingerprints.fingerprint_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert len(got) == n and sum(r["class_id"] == 0 for r in got) >= 0.95 * n
+        counts.append(sum(r["links"] for r in got))
+    assert counts[1] < 12 * counts[0]
+
+
+@pytest.mark.parametrize("n, rounds", [(300, 6), (300, 1), (20_000, 6)])
+def test_one_bucket_with_all(spark, monkeypatch, n, rounds):
+    """All documents in one bucket, on a line: links are those within 40 of each other."""
+    monkeypatch.setattr(buckets, "ROUNDS", rounds)
+
+    def same(batches):
+        """Similarity of contents of four bytes: of those that differ by d it is 1 - d / 100."""
+        for batch in batches:
+            of = lambda c: [int.from_bytes(x.as_py()) for x in batch.column(c)]
+            j = [max(0.0, 1 - abs(x - y) / 100) for x, y in zip(of("bag_a"), of("bag_b"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
+
+    spots = [(i * 37) % 1000 if n < 1000 else (i % 2) * 500 + i % 30 for i in range(n)]
+    spots = [x + (x > 400) * 300 for x in spots] if n < 1000 else spots
+    sketch = spark.createDataFrame(pd.DataFrame({"id": range(n), "same": range(n), "keys": [[7]] * n}), "id long, same long, keys array<long>")
+    bag = spark.createDataFrame(pd.DataFrame({"id": range(n), "bag": [x.to_bytes(4) for x in spots]}), "id long, bag binary")
+    got = buckets.linked(sketch, lambda ids: bag.join(ids, "id", "left_semi"), same, 0.6, "bigint")
+    label = {r["id"]: r["label"] for r in got.labels.collect()}
+    order, want, last = sorted(range(n), key=spots.__getitem__), {}, None
+    for i in order:
+        if last is None or spots[i] - spots[last] > 40:
+            group = []
+        group.append(i)
+        want[i], last = group, i
+    assert {i: label.get(i, i) for i in range(n)} == {i: min(g) for i, g in want.items()} and len({min(g) for g in want.values()}) > 1
+    if n > 1000:
+        assert got.pairs.count() < 25 * n
+
+
+def test_multisets_with_huge_counts():
+    a = near_dedup.packed_bag(np.array([5, 9], np.uint64), np.array([100_000_000, 3]))
+    b = near_dedup.packed_bag(np.array([5, 9], np.uint64), np.array([50_000_000, 6]))
+    assert near_dedup.weighted_jaccard(a, b) == 50_000_003 / 100_000_006 and near_dedup.weighted_jaccard(a, a) == 1
+    for count in (1, near_dedup.MOST - 1, near_dedup.MOST, near_dedup.MOST + 1, 2 * near_dedup.MOST):
+        element, got = near_dedup.unpacked(near_dedup.packed_bag(np.array([3], np.uint64), np.array([count])))
+        assert element.tolist() == [3] and got.tolist() == [count]
 
 
 # ---- mixing and packing
 
 
-def test_mixing_against_sorting(spark):
+ENCODER = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=tokens.load(tokens.VOCABULARY), special_tokens={})
+
+
+def shares(have, weights, total):
+    """Each source's budget by raising the rate source by source."""
+    out, rest, left = {}, total, sorted(have, key=lambda s: have[s] / weights[s])
+    while left:
+        w = sum(weights[s] for s in left)
+        if have[left[0]] * w <= rest * weights[left[0]]:
+            out[left[0]] = have[left[0]]
+            rest -= have[left.pop(0)]
+        else:
+            return out | {s: rest * weights[s] // w for s in left}
+    return out
+
+
+@pytest.mark.parametrize("limit", [2_000_000, -1])
+def test_mixing_against_sorting(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     rng = random.Random(12)
-    rows = [(i, rng.choice(["a", "b", "c", None]), "x" * rng.randrange(0, 400)) for i in range(2000)]
+    rows = [(i, rng.choice(["a", "b", "b", "b", "c", "c", None]), " ".join(rng.choice(["see", "unfathomable", "12", "x-y"]) for _ in range(rng.randrange(0, 90)))) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {r["doc_id"]: r["tier"] for r in mixing.mixed(docs, weights={"a": 3}, total_percent=60).collect()}
+    got = {r["doc_id"]: r["tier"] for r in mixing.mixed(docs, weights={"a": 7}, total_percent=60).collect()}
     hashes = {r[0]: r[1] for r in docs.select("doc_id", mixing.hash48()).collect()}
-    size = {i: (len(t) + 3) // 4 for i, _, t in rows}
-    total = sum(size.values()) * 60 // 100
+    size = {i: len(ENCODER.encode_ordinary(t)) for i, _, t in rows}
+    have = {s: sum(size[i] for i, x, _ in rows if x == s) for s in ("a", "b", "c", None)}
+    budget = shares(have, {"a": 7, "b": 1, "c": 1, None: 1}, sum(size.values()) * 60 // 100)
+    assert budget["a"] == have["a"] and budget["b"] == budget["c"]  # a runs short
     want = {}
-    for source, weight in (("a", 3), ("b", 1), ("c", 1), (None, 1)):
-        budget = total * weight // 6
+    for source in have:
         upto = 0
         for i in sorted((i for i, s, _ in rows if s == source), key=hashes.get):
             upto += size[i]
-            if tier := next((k for k, t in enumerate(mixing.TIERS, 1) if upto <= budget * t // 100), 0):
+            if tier := next((k for k, t in enumerate(mixing.TIERS, 1) if upto <= budget[source] * t // 100), 0):
                 want[i] = tier
     assert got == want
+    kept = sum(size[i] for i in got)
+    assert kept <= sum(budget.values()) <= sum(size.values()) * 0.6 and kept > 0.98 * sum(size.values()) * 0.6
+
+
+def test_mix_query(spark):
+    """The registered query against sorting, over its whole table."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["source"], r["tokens"], r["tier"]) for r in queries.op7_source_mix(spark, SF).collect()}
+    size = {i: len(ENCODER.encode_ordinary(r["text"] or "")) for i, r in docs.items()}
+    hashes = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", mixing.hash48()).collect()}
+    have = {}
+    for i, r in docs.items():
+        have[r["source"]] = have.get(r["source"], 0) + size[i]
+    budget = shares(have, {s: mixing.WEIGHTS.get(s, 1) for s in have}, sum(size.values()) * mixing.TOTAL_PERCENT // 100)
+    upto, want = dict.fromkeys(have, 0), {}
+    for i in sorted(docs, key=hashes.get):
+        s = docs[i]["source"]
+        upto[s] += size[i]
+        if tier := next((k for k, t in enumerate(mixing.TIERS, 1) if upto[s] <= budget[s] * t // 100), 0):
+            want[i] = (s, size[i], tier)
+    assert got == want
+
+
+def slow_fill(size, later, lengths):
+    """The length to open, from the list of what is left."""
+    found = []
+    for c in lengths:
+        if c >= size:
+            used = size
+            for s in sorted(later, reverse=True):
+                if used + s <= c:
+                    used += s
+            found.append((packing.cost(min(x for x in lengths if x >= used)) / used, c))
+    return min(found)[1]
 
 
 def test_packing_is_best_fit():
@@ -392,7 +576,7 @@ def test_packing_is_best_fit():
                 k = min(fits)[2]
             else:
                 k = len(rooms)
-                rooms.append((max(preferred, min(c for c in lengths if c >= s)), now))
+                rooms.append((max(preferred, min(c for c in lengths if c >= s)) if preferred else slow_fill(s, sizes[now + 1 :], lengths), now))
             rooms[k] = (rooms[k][0] - s, now)
             bins.append(k)
         return bins
@@ -401,13 +585,19 @@ def test_packing_is_best_fit():
     lengths = (16, 32, 64)
     for _ in range(200):
         sizes = sorted((rng.randrange(1, 65) for _ in range(rng.randrange(0, 40))), reverse=True)
-        for preferred in lengths:
+        for preferred in (None, *lengths):
             bins, final = packing.best_fit(sizes, lengths, preferred)
             used = np.bincount(bins, weights=sizes, minlength=len(final)) if sizes else []
             assert all(c == min(x for x in lengths if x >= u) for u, c in zip(used, final))
             assert bins == slow(sizes, lengths, preferred)
         total = sum(map(packing.cost, packing.pack(sizes, lengths)[1]))
-        assert total == min(sum(map(packing.cost, packing.best_fit(sizes, lengths, p)[1])) for p in lengths)
+        assert total == min(sum(map(packing.cost, packing.best_fit(sizes, lengths, p)[1])) for p in (None, *lengths))
+
+
+def test_bins_of_several_lengths_are_opened_in_one_packing():
+    sizes = [8000] * 20 + [900] * 7 + [100] * 60
+    bins, final = packing.best_fit(sizes, packing.LENGTHS)
+    assert len(set(final)) > 1 and len(bins) == len(sizes)
 
 
 def test_packed_bins_hold_what_they_say(spark):
@@ -417,9 +607,20 @@ def test_packed_bins_hold_what_they_say(spark):
         b = b.sort_values("position")
         assert (b["position"].to_numpy() == np.append(0, b["n_tokens"].cumsum().to_numpy()[:-1])).all()
         assert b["n_tokens"].sum() <= b["length"].iloc[0] and b["length"].nunique() == 1
-    want = {r["doc_id"]: -(-len(r["text"]) // 4) for r in docs.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = {i: len(ENCODER.encode_ordinary(t)) for i, t in texts.items()}
     assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == {k: v for k, v in want.items() if v}
     assert got.groupby("shard")["n_tokens"].sum().max() < 40_000
+    # The pieces, in order, are the document's own tokens.
+    for i, b in list(got.sort_values(["doc_id", "start"]).groupby("doc_id"))[:50]:
+        ids = ENCODER.encode_ordinary(texts[i])
+        assert b["start"].tolist() == np.append(0, b["n_tokens"].cumsum()[:-1]).tolist()
+        assert ENCODER.decode([x for s, n in zip(b["start"], b["n_tokens"]) for x in ids[s : s + n]]) == texts[i]
+
+
+def test_shards_are_bounded_in_pieces(spark):
+    got = packing.packed(spark.createDataFrame([(None, "x")] * 500, "doc_id long, text string"), shard_pieces=50).toPandas()
+    assert len(got) == 500 and got["shard"].nunique() == 10 and got.groupby("shard").size().max() < 100
 
 
 # ---- secrets
@@ -528,6 +729,78 @@ def test_secrets_in_base64_escapes_and_assignments():
         assert secrets.find(f'"a\\n{text}\\n"') == [(4, 4 + len(text), kind)], kind
 
 
+def test_secrets_that_a_hint_could_miss():
+    plain = jwt({"alg": "none"}, b"")
+    assert secrets.find("eyJhbGciOiJub25lIn0.eyJhIjoxfQ.") == [(0, 31, "jwt")] and secrets.find(plain) == [(0, len(plain), "jwt")]
+    value = random.Random(3).randbytes(20).hex()
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(value))
+    for text in (f"token{' ' * 45}={' ' * 45}{value}", f"key = {mixed}"):
+        assert [k for *_, k in secrets.find(text)] == ["raw_key"]
+    broken = "".join(c.upper() if i % 2 else c for i, c in enumerate(RSA.hex()))
+    assert secrets.find(broken) == [(0, len(broken), "pkcs1")]
+
+
+def test_account_numbers():
+    assert secrets._account("IOSFODNN7EXAMPLE") == 581039954779
+    assert secrets.find("AKIA" + "7" * 16) == []  # above twelve digits
+
+
+def test_scan_equals_find_on_every_text(spark):
+    rng, found = random.Random(16), [*REAL, *FALSE, "eyJhbGciOiJub25lIn0.eyJhIjoxfQ.", "password=b7db7aa4a5fcc783", f"key: {random.Random(4).randbytes(16).hex()}", "é中"]
+    wrapped = b64(pem("", PKCS8).encode())
+    found.append("\n".join(wrapped[i : i + 20] for i in range(0, len(wrapped), 20)))
+    texts = [rng.choice([" ", "", "=", "\n", "x", "é"]).join(rng.sample(found, rng.randrange(1, 4))) for _ in range(200)] + found + ["", None]
+    texts += pd.read_parquet(f"{SF}/documents.parquet")["text"].tolist()
+    want = sorted((i, a, b, k) for i, t in enumerate(texts) for a, b, k in secrets.find(t))
+    got = secrets.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["kind"]) for r in got) == want and len(want) > 100
+    assert all((r["basis"] == "assignment") == (r["kind"] in ("raw_key", "password")) for r in got)
+
+
+def test_der_against_another_reader():
+    """A recursive reader that takes an element off the front, on damaged keys."""
+
+    def read(b):
+        if not b:
+            return []
+        if len(b) < 2 or b[0] & 31 == 31:
+            return None
+        n, head = b[1], 2
+        if n & 128:
+            k = n & 127
+            if not 1 <= k <= 4 or len(b) < 2 + k or b[2] == 0:
+                return None
+            n, head = int(b[2 : 2 + k].hex(), 16), 2 + k
+            if n < 128:
+                return None
+        if len(b) < head + n:
+            return None
+        rest = read(b[head + n :])
+        return None if rest is None else [(b[0], b[head : head + n]), *rest]
+
+    rng, parsed = random.Random(17), 0
+    for _ in range(4000):
+        data = bytearray(rng.choice([RSA, PKCS8, SEC1, PUBLIC]))
+        for _ in range(rng.randrange(3)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        data = bytes(data)
+        if rng.random() < 0.2:
+            data = data[: rng.randrange(len(data))]
+        got, want = secrets.der(data), read(data)
+        assert (got is None) == (want is None)
+        if got is not None:
+            assert [(t, data[a:b]) for t, a, b in got] == want
+            for (t, a, b), (_, body) in zip(got, want):
+                inner, other = secrets.der(data, a, b), read(body)
+                assert (inner is None) == (other is None)
+            parsed += 1
+        kind = secrets.der_kind(data)
+        if kind == "pkcs1":
+            numbers = [int(v.hex() or "0", 16) for t, v in read(read(data)[0][1])[:9]]
+            assert numbers[1] == numbers[4] * numbers[5]
+    assert parsed > 500
+
+
 def test_secrets_never_break():
     rng = random.Random(14)
     for _ in range(300):
