@@ -140,16 +140,18 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str, atoms: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first atom, atom after the last) of the segments that may be entities."""
+    """(first atom, atom after the last) of the segments that may be entities: those around an at sign, and others of
+    digits, capitals and the signs of numbers, without any small letter."""
     kinds = ["w" if text[a].isalnum() else " " if text[a].isspace() else text[a] for a, _ in atoms]
+    plain = [text[a:b].isupper() or text[a:b].isdecimal() if k == "w" else k in " .-+()" for (a, b), k in zip(atoms, kinds)]
     digits = [0, *accumulate(sum(map(str.isdigit, text[a:b])) if k == "w" else 0 for (a, b), k in zip(atoms, kinds))]
     space, dots = ([0, *accumulate(k == c for k in kinds)] for c in " .")
     out = []
     for i, k in enumerate(kinds):
-        if k not in "w+(":
+        if k not in "w+(" or not plain[i]:
             continue
         for j in range(i + 1, min(len(atoms), i + MAX_ATOMS) + 1):
-            if kinds[j - 1] == "@" or space[j] - space[i] > 8:
+            if not plain[j - 1] or space[j] - space[i] > 8:
                 break
             if kinds[j - 1] == "w" and (digits[j] - digits[i] >= 7 or (dots[j] - dots[i] == 3 and digits[j] > digits[i])):
                 out.append((i, j))
