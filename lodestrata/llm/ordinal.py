@@ -43,6 +43,8 @@ SIZE = ECHO + 1
 #: Labelled documents of each grade that the fit takes at most.
 PER_GRADE = 2000
 MIN_DOCS = 10
+#: Features that the fit takes at a time.
+BLOCK = 1 << 19
 GRADES = 3
 #: Least grade and its least probability for a document to be selected.
 GRADE, TAIL = 2, 0.4
@@ -130,11 +132,12 @@ def fit(sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarr
     often = np.bincount(cols, minlength=size) >= min_docs
     used = np.flatnonzero(often)
     kept = often[cols]
-    ends = np.append(0, np.cumsum(kept))[np.append(0, np.cumsum(sizes))]
-    at, values = (np.cumsum(often) - 1)[cols[kept]], values[kept]
+    ends = np.append(0, np.cumsum(kept, dtype=np.int32))[np.append(0, np.cumsum(sizes))]
+    at, values = (np.cumsum(often, dtype=np.int32) - 1)[cols[kept]], values[kept]
     del cols, kept
-    counts, some = np.diff(ends), np.diff(ends) > 0
-    starts = ends[:-1][some]
+    # In blocks of rows, so that nothing but the features themselves is held for all of them.
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], BLOCK)), [0, n]))
+    blocks = [(slice(a, b), slice(ends[a], ends[b]), np.diff(ends[a : b + 1])) for a, b in zip(cuts[:-1], cuts[1:])]
     w, theta = np.zeros(len(used)), np.append(-1.0, np.zeros(grades - 2))
     weight = (1 / np.maximum(np.bincount(grade, minlength=grades), 1))[grade]
     weight /= weight.sum()
@@ -142,10 +145,10 @@ def fit(sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarr
     i = np.arange(n)
     for step in range(1, steps + 1):
         score = np.zeros(n)
-        if len(starts):
-            product = w[at]
-            product *= values
-            score[some] = np.add.reduceat(product, starts)
+        for rows, cells, counts in blocks:
+            some = counts > 0
+            if some.any():
+                score[rows][some] = np.add.reduceat(w[at[cells]] * values[cells], (np.cumsum(counts) - counts)[some])
         cut = np.cumsum(np.append(theta[0], np.exp(theta[1:])))
         tail = np.column_stack([np.ones(n), 1 / (1 + np.exp(-np.clip(score[:, None] - cut, -50, 50))), np.zeros(n)])
         slope = tail * (1 - tail)
@@ -153,9 +156,10 @@ def fit(sizes: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarr
         up, down = weight * slope[i, grade] / p, weight * slope[i, grade + 1] / p
         d_cut = np.array([up[grade == k].sum() - down[grade + 1 == k].sum() for k in range(1, grades)])
         d_theta = np.array([d_cut.sum(), *(np.exp(theta[j]) * d_cut[j:].sum() + 1e-3 * theta[j] for j in range(1, grades - 1))])
-        product = np.repeat(down - up, counts)
-        product *= values
-        grad = np.append(np.bincount(at, weights=product, minlength=len(w)) + l2 * w, d_theta)
+        grad = l2 * w
+        for rows, cells, counts in blocks:
+            grad += np.bincount(at[cells], weights=np.repeat((down - up)[rows], counts) * values[cells], minlength=len(w))
+        grad = np.append(grad, d_theta)
         moment = 0.9 * moment + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
         move = rate * moment / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
