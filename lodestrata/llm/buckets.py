@@ -29,7 +29,7 @@ from .components import components
 
 #: Similarities are sums of whole numbers, divided once; what differs by less is equal.
 EPSILON = 1e-9
-ROUNDS = 6
+ROUNDS = 3
 #: Parts of the largest distance of a link by which distances to a head are matched.
 STEPS = 4
 

@@ -9,7 +9,8 @@ are the documents of the tiers, since a larger budget has a higher threshold.
 
 A source's budget is its weight's part of the total, which is a share of the
 corpus's tokens. A source with fewer tokens gives all it has, and what it leaves
-of its budget goes to the others by their weights, so that the total is met.
+of its budget goes to the others by their weights, so that the total is met. A
+source of weight 0 has no budget.
 Tokens are those of a tokenizer's vocabulary (tokens.py). Documents with
 equal hashes (repeated ids) are taken together or not at all.
 
@@ -54,7 +55,7 @@ def budgets(per: DataFrame, total_percent: int) -> DataFrame:
     total, short, weights = (found[0] or 0) * total_percent // 100, 0, found[1] or 0
     while True:
         rest = total - short
-        is_short = exact("tokens") * F.lit(weights) <= exact("weight") * F.lit(rest)
+        is_short = (F.col("weight") > 0) & (exact("tokens") * F.lit(weights) <= exact("weight") * F.lit(rest))
         found = per.agg(F.sum(F.when(is_short, F.col("tokens"))), F.sum(F.when(~is_short, F.col("weight")))).first()
         new = found[0] or 0, found[1] or 0
         if not new[1] or new == (short, weights):

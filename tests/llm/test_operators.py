@@ -454,7 +454,7 @@ def test_classes_grow_with_the_documents(spark):
     assert counts[1] < 12 * counts[0]
 
 
-@pytest.mark.parametrize("n, rounds", [(300, 6), (300, 1), (20_000, 6)])
+@pytest.mark.parametrize("n, rounds", [(300, 6), (300, 1), (20_000, 3)])
 def test_one_bucket_with_all(spark, monkeypatch, n, rounds):
     """All documents in one bucket, on a line: links are those within 40 of each other."""
     monkeypatch.setattr(buckets, "ROUNDS", rounds)

@@ -3,6 +3,7 @@
 import corpus_pipeline
 import numpy as np
 import __spark_entry__ as entry
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, near_dedup, ordinal, pii, tokens
@@ -58,6 +59,27 @@ def test_stages(spark, tmp_path):
     assert len(run) == docs.count() and np.array_equal(np.sort(run["doc_id"]), np.sort(docs.toPandas()["doc_id"]))
 
 
+@pytest.mark.parametrize("count", [0, 9])
+def test_stages_on_awkward_tables(spark, tmp_path, count):
+    long = "wide sea " * 250_000  # over 2 MB
+    given = [(1, "a plain text on the sea", "en", "a", 23), (1, "a plain text on the sea", "en", "a", 23), (2, None, None, None, None), (3, "", "", "a", 0), (None, "write to jo@mail.example.com", "en", "b", 28), (None, None, None, None, None), (4, long, "en", "a", len(long)), (5, long, "en", None, len(long)), (6, "call +1 (212) 555-0123", "en", "b", 22)]
+    docs = spark.createDataFrame(given[:count], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["id", "keys", "tier", "entities", "n_tokens", "__tokens", "__gone", "__pii", "tail_probability", "odd.name", "row"]
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    spark.createDataFrame([(77, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name == "pack":
+            assert bool(count) == (out.count() > 0)
+            break
+        assert out.columns == docs.columns and out.count() == {"quality": count, "near_dedup": count and count - 1, "pii": count and count - 1}.get(name, out.count())
+        docs = out
+        if name == "pii" and count:
+            assert {r["text"] for r in docs.where("doc_id is null or doc_id = 6").collect()} == {None, "write to [EMAIL]", "call [PHONE]"}
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names
