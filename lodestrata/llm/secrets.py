@@ -58,10 +58,12 @@ from .vec import runs
 
 #: Kinds that rest on an assignment, not on structure.
 ASSIGNED = ("raw_key", "password")
-#: Every secret has so many of these signs in a row, or this frame; other texts aren't searched.
-RUN, FRAME = 15, "-----BEGIN "
-_SIGNS = np.zeros(256, bool)
-_SIGNS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-.")] = True
+#: Every secret has so many of these signs in a row (a token's shortest header has 19, a password 16), or one of these
+#: frames, plain or in base64; other texts aren't searched.
+RUN, FRAMES = 16, ("-----BEGIN ", "LS0tLS1CRUdJTi")
+_SIGNS, _DIGITS = np.zeros(256, bool), np.zeros(256, bool)
+_DIGITS[list(b"0123456789abcdefABCDEF")] = True
+_SIGNS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")] = True
 _ESCAPE = re.compile(r"\\+(?:r\\+n|[nr])")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:[^-]|-(?!----))*)-----END \1PRIVATE KEY-----")
 #: Where a run begins: not inside another, but right after a written escape.
@@ -73,6 +75,8 @@ _BLOB = re.compile(_FROM.format("+/_-") + r"[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z
 _WRAPPED = re.compile(_FROM.format("+/_-") + r"LS0tLS1CRUdJTi[A-Za-z0-9+/]+(?:(?:\s|\\+[rn])+(?!LS0tLS1CRUdJTi)[A-Za-z0-9+/]+)*={0,2}")
 _CHECKED = re.compile(_FROM.format("") + r"([a-z]{2,5}_)([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _CLOUD = re.compile(_FROM.format("+/_-") + r"A[KS]IA([A-Z2-7]{16})(?![0-9A-Za-z+=_-]|/(?!\d{8}/))")  # signed requests have a date after it
+#: What small letters of every text with a name in _NAME hold.
+_NAMES = ("key", "token", "secret", "passw", "pwd", "credential")
 _NAME = r"(?:(?<!pub)(?<!public)(?<!pub[ _-])(?<!public[ _-])key|token|secret|passw(?:or)?d|pwd|credential)s?[\\\"']*\s*(?::=|=>?|:)\s*[\\\"']*"
 _NAMED = re.compile(rf"(?i:{_NAME})(?=[0-9A-Fa-f]{{32}})")
 _ASSIGNED = re.compile(rf"(?i:{_NAME})([A-Za-z0-9+/_-]{{22,}}={{0,2}})(?![A-Za-z0-9+/=_-])")
@@ -254,36 +258,47 @@ def _wrapped(m: re.Match) -> tuple[int, int, str] | None:
     return None
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the secrets, in order, without overlaps."""
+def find(text: str | None, longest: int = 1 << 31, digits: int = 1 << 31) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the secrets, in order, without overlaps.
+
+    Searches that can't succeed, since the text has no more than *longest* signs or *digits* hex digits in a row, are left out.
+    """
     if not text:
         return []
     found = list(_pems(text))
-    found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _jwt(m)]
-    for m in _CHECKED.finditer(text):
+    if "eyJ" in text:
+        found += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if _jwt(m)]
+    for m in _CHECKED.finditer(text) if longest >= 39 else ():
         value = 0
         for c in m[3]:
             value = value * 62 + _BASE62[c]
         if value == zlib.crc32(m[2].encode()):
             found.append((m.start(), m.end(), "checked_token"))
-    found += [(m.start(), m.end(), "access_key_id") for m in _CLOUD.finditer(text) if 0 < _account(m[1]) < 10**12]
-    for m in _PASSWORD.finditer(text):
-        if len(m[1]) % 2 == 0 and _random(bytes.fromhex(m[1])):
-            found.append((m.start(1), m.end(1), "password"))
-    named = {m.end() for m in _NAMED.finditer(text)}
-    for m in _HEX.finditer(text):
-        if len(m[0]) % 2 == 0:
-            data = bytes.fromhex(m[0])
-            kind = bytes_kind(data)
-            if kind is None and m.start() in named and _raw(data):
-                kind = "raw_key"
-            if kind:
-                found.append((m.start(), m.end(), kind))
-    for m in _BLOB.finditer(text):
+    if "AKIA" in text or "ASIA" in text:
+        found += [(m.start(), m.end(), "access_key_id") for m in _CLOUD.finditer(text) if 0 < _account(m[1]) < 10**12]
+    lower = text.lower().replace("\u017f", "s")  # as re.I has it; the Kelvin sign becomes k
+    if "passw" in lower or "passphrase" in lower or "pwd" in lower:
+        for m in _PASSWORD.finditer(text):
+            if len(m[1]) % 2 == 0 and _random(bytes.fromhex(m[1])):
+                found.append((m.start(1), m.end(1), "password"))
+    any_name = longest >= 22 and any(n in lower for n in _NAMES)
+    if digits >= 32:
+        named = {m.end() for m in _NAMED.finditer(text)} if any_name else ()
+        for m in _HEX.finditer(text):
+            if len(m[0]) % 2 == 0:
+                data = bytes.fromhex(m[0])
+                kind = bytes_kind(data)
+                if kind is None and m.start() in named and _raw(data):
+                    kind = "raw_key"
+                if kind:
+                    found.append((m.start(), m.end(), kind))
+    for m in _BLOB.finditer(text) if longest >= 40 else ():
         if kind := _base64_kind(m[0]):
             found.append((m.start(), m.end(), kind))
-    found += [f for m in _WRAPPED.finditer(text) if (f := _wrapped(m))]
-    found += [(m.start(1), m.end(1), "raw_key") for m in _ASSIGNED.finditer(text) if _raw_base64(m[1])]
+    if FRAMES[1] in text:
+        found += [f for m in _WRAPPED.finditer(text) if (f := _wrapped(m))]
+    if any_name:
+        found += [(m.start(1), m.end(1), "raw_key") for m in _ASSIGNED.finditer(text) if _raw_base64(m[1])]
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[tuple[int, int, str]] = []
     for f in found:
@@ -292,19 +307,24 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-def searched(text: pa.Array) -> np.ndarray:
-    """Rows of the texts that may hold a secret."""
-    rows = [np.flatnonzero(pc.match_substring(text, FRAME).fill_null(False).to_numpy(zero_copy_only=False))]
+def longest(text: pa.Array, member: np.ndarray) -> np.ndarray:
+    """The longest run of bytes in *member* of each text."""
+    out = np.zeros(len(text), np.int64)
     for data, offsets, at in text_slices(text):
-        starts, ends = runs(data, offsets, _SIGNS)
-        rows.append(at + np.searchsorted(offsets, starts[ends - starts >= RUN], side="right") - 1)
-    return np.unique(np.concatenate(rows))
+        starts, ends = runs(data, offsets, member)
+        some = np.flatnonzero(ends - starts >= RUN)
+        np.maximum.at(out, at + np.searchsorted(offsets, starts[some], side="right") - 1, (ends - starts)[some])
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(1)
-        found = [(i, *f) for i in searched(text).tolist() for f in find(text[i].as_py())]
+        signs, digits = longest(text, _SIGNS), longest(text, _DIGITS)
+        some = signs >= RUN
+        for frame in FRAMES:
+            some |= pc.match_substring(text, frame).fill_null(False).to_numpy(zero_copy_only=False)
+        found = [(i, *f) for i in np.flatnonzero(some).tolist() for f in find(text[i].as_py(), signs[i], digits[i])]
         rows, at, end, kind = zip(*found) if found else ((), (), (), ())
         ids = batch.column(0).take(pa.array(rows, pa.int64()))
         basis = ["assignment" if k in ASSIGNED else "structure" for k in kind]
