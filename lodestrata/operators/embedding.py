@@ -8,6 +8,7 @@ task that runs again repeats calls but not rows.
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.error
@@ -214,7 +215,7 @@ class HttpEmbedder:
                 failure = EmbeddingError(f"status {status}: {answer[:512].decode(errors='replace')}")
                 if status != 429 and status < 500:
                     raise failure
-            except OSError as e:
+            except (OSError, http.client.HTTPException) as e:  # an answer that breaks off is the latter
                 failure = EmbeddingError(str(e))
             if attempt < RETRIES:
                 self.sleep(min(LONGEST_WAIT, FIRST_WAIT * 2**attempt))

@@ -177,5 +177,12 @@ def with_status(documents: DataFrame, ids: DataFrame, status: str) -> DataFrame:
     return hit.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in documents.columns])
 
 
+def set_status(documents: DataFrame, document_id: int, status: str) -> DataFrame:
+    """with_status() of one document, which must be there."""
+    if documents.where(F.col("id") == document_id).isEmpty():
+        raise LookupError(f"document {document_id} not found")
+    return with_status(documents, documents.where(F.col("id") == document_id).select("id"), status)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -30,9 +30,17 @@ def markdown_sections(source: pa.Array) -> pa.Array:
     return _rows([markdown.sections(s) if s is not None else None for s in source.to_pylist()])
 
 
-@F.arrow_udf(SECTIONS)
-def code_sections(source: pa.Array, extension: pa.Array) -> pa.Array:
-    return _rows([code.sections(s, e) if s is not None else None for s, e in zip(source.to_pylist(), extension.to_pylist())])
+def code_sections_by(splitter: Callable[[str, str], list]):
+    """The sections that *splitter* finds in (source, extension), as a function of columns."""
+
+    @F.arrow_udf(SECTIONS)
+    def code_sections(source: pa.Array, extension: pa.Array) -> pa.Array:
+        return _rows([splitter(s, e) if s is not None else None for s, e in zip(source.to_pylist(), extension.to_pylist())])
+
+    return code_sections
+
+
+code_sections = code_sections_by(code.sections)
 
 
 @F.arrow_udf(Y.StructType([Y.StructField("sections", SECTIONS), Y.StructField("error", Y.StringType())]))
