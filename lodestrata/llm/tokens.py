@@ -54,7 +54,7 @@ REMEMBER = 1 << 20
 #: Bytes that a chunk of a long pre-token spans.
 BYTES = 48
 #: Compiled states that a worker keeps; beyond it they are compiled again when next needed.
-COMPILED = 200_000
+COMPILED = 150_000
 
 # ---- boundary transducer ---------------------------------------------------
 
@@ -213,7 +213,6 @@ class Merges:
         #: What begins a longer token.
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -223,7 +222,6 @@ class Merges:
         self.names = {self.states[0]: 0}
         self.edges: list[dict[int, tuple[int, int]]] = [{}]
         self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
-        self.pairs.clear()
 
     def merged(self, text: bytes, below: int = 1 << 60) -> list[bytes]:
         """The plain encoding of a few bytes, by merges of a rank under *below*."""
@@ -253,31 +251,24 @@ class Merges:
         """Whether the encoding of a + b is a, b. It isn't if two parts at the seam, at the right end of a
         and the left end of b, would be merged before one of them goes into the next larger part; those
         that stand there at the same time are found by undoing the later of the two merges."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            got, before, left, right, ranks = True, 1 << 60, a, b, self.ranks
-            while True:
-                r = ranks.get(left + right)
-                if r is not None and r < before:
-                    got = False
-                    break
-                # Of single bytes there is no merge to undo.
-                ra = ranks[left] if len(left) > 1 else -1
-                rb = ranks[right] if len(right) > 1 else -1
-                if ra < 0 and rb < 0:
-                    break
-                # A merge at the right of the seam gives way to one of equal rank at its left.
-                if ra > rb:
-                    half = self.split(left)
-                    before, left = ra, half[1] if half else b""
-                else:
-                    half = self.split(right)
-                    before, right = rb + 1, half[0] if half else b""
-                if half is None:  # an odd vocabulary
-                    got = self.merged(a + b) == [a, b]
-                    break
-            self.pairs[a, b] = got
-        return got
+        before, left, right, ranks = 1 << 60, a, b, self.ranks
+        while True:
+            r = ranks.get(left + right)
+            if r is not None and r < before:
+                return False
+            # Of single bytes there is no merge to undo.
+            ra = ranks[left] if len(left) > 1 else -1
+            rb = ranks[right] if len(right) > 1 else -1
+            if ra < 0 and rb < 0:
+                return True
+            # A merge at the right of the seam gives way to one of equal rank at its left.
+            half = self.split(left if ra > rb else right)
+            if half is None:  # an odd vocabulary
+                return self.merged(a + b) == [a, b]
+            if ra > rb:
+                before, left = ra, half[1]
+            else:
+                before, right = rb + 1, half[0]
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """(next state, change in the token count)."""
