@@ -44,11 +44,12 @@ def body_font(rows: DataFrame) -> DataFrame:
 
 
 def heading_levels(rows: DataFrame) -> DataFrame:
-    """(document_id, size, level): rounded sizes of headings, the largest on level 1."""
-    size = T.round_font(F.col("font_size"))
-    big = rows.join(body_font(rows), "document_id").where((size > F.col("body_font")) & (F.col("font_size") >= F.col("body_font") * HEADING_RATIO))
-    sizes = big.select("document_id", size.alias("size")).distinct()
-    return sizes.withColumn("level", F.dense_rank().over(Window.partitionBy("document_id").orderBy(F.desc("size"))))
+    """(document_id, size, level): rounded sizes of headings, the largest on level 1. The rows are summed up once, by size."""
+    doc = Window.partitionBy("document_id")
+    sizes = rows.groupBy("document_id", T.round_font(F.col("font_size")).alias("size")).agg(F.sum(F.length("text")).alias("weight"), F.max("font_size").alias("largest"))
+    body = -F.max(F.struct("weight", (-F.col("size")).alias("size"))).over(doc)["size"]
+    big = sizes.withColumn("body", body).where((F.col("size") > F.col("body")) & (F.col("largest") >= F.col("body") * HEADING_RATIO))
+    return big.select("document_id", "size", F.dense_rank().over(doc.orderBy(F.desc("size"))).alias("level"))
 
 
 def sections(runs: DataFrame) -> DataFrame:

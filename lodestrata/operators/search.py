@@ -20,6 +20,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 
 FETCH = 4096
+_NEAR = "query_id long, chunk_id long, distance double"
 MAX_DOCUMENTS, MAX_CHUNKS = 20, 3
 #: Queries whose vectors are held against a batch at once.
 BLOCK = 1024
@@ -43,13 +44,21 @@ class SearchConfig:
 
 
 def knn(vectors: DataFrame, query: Sequence[float], k: int, metric: str = V.L2, dimensions: int | None = None) -> DataFrame:
-    """(chunk_id, distance) of the *k* nearest of *vectors* (chunk_id, vector); ties go to the smaller id."""
+    """(chunk_id, distance) of the *k* nearest of *vectors* (chunk_id, vector); ties go to the smaller id.
+
+    Each batch of vectors is one matrix product and hands on its own k nearest. Vectors that are null, hold a null or
+    have another number of dimensions than the query are near to nothing.
+    """
     if dimensions is not None and len(query) != dimensions:
         raise ValueError(f"the query has {len(query)} dimensions, the store {dimensions}")
-    hits = vectors.select("chunk_id", V.distance(F.col("vector"), query, metric).alias("distance"))
+    if metric not in (V.L2, V.COSINE):
+        raise ValueError(f"no such metric: {metric}")
     if k <= 0:
-        return hits.limit(0)
-    return hits.where("distance is not null").orderBy(F.round("distance", V.ORDER_DIGITS), "chunk_id").limit(k)
+        return vectors.sparkSession.createDataFrame([], "chunk_id long, distance double")
+    q, zero = _unit_rows(np.asarray(query, np.float64), 1)
+    same = vectors.select("chunk_id", "vector").where(F.size("vector") == len(query))
+    hits = same.mapInArrow(_held_against(np.zeros(1, np.int64), q, zero, k, metric), _NEAR).select("chunk_id", "distance")
+    return hits.orderBy(F.round("distance", V.ORDER_DIGITS), "chunk_id").limit(k)
 
 
 def ranked(hits: DataFrame) -> DataFrame:
@@ -89,8 +98,13 @@ def hydrated(groups: DataFrame, chunks: DataFrame, documents: DataFrame) -> Data
 
 def search(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, query: Sequence[float], config: SearchConfig = SearchConfig(), metric: str = V.L2, fetch: int = FETCH) -> DataFrame:
     """A row for each chunk of the result, in the layout of hydrated()."""
+    return assembled(knn(vectors, query, fetch, metric), chunks, documents, config)
+
+
+def assembled(near: DataFrame, chunks: DataFrame, documents: DataFrame, config: SearchConfig) -> DataFrame:
+    """The same for the nearest (chunk_id, distance), however they were found."""
     most, each = config.caps()
-    hits = mapped(ranked(knn(vectors, query, fetch, metric)), chunks)
+    hits = mapped(ranked(near), chunks)
     return hydrated(capped(grouped(relevant(hits, config.min_relevance)), most, each), chunks, documents)
 
 
@@ -111,7 +125,8 @@ def _top(query_ids: np.ndarray, q: np.ndarray, q_zero: np.ndarray, chunk_ids: np
     """The k nearest of some vectors to each of some queries: a matrix product, then a partial sort.
 
     All that tie with the last one stay; the window over all batches decides."""
-    cos = q @ v.T
+    with np.errstate(invalid="ignore"):
+        cos = q @ v.T
     if metric == V.L2:
         d = np.sqrt(np.maximum(0, (~v_zero).astype(float)[None, :] + (~q_zero).astype(float)[:, None] - 2 * cos))
     else:
@@ -153,9 +168,6 @@ def _blocked(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
     return df.groupBy(block.alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), "vector")).alias(name)).select(name)
 
 
-_NEAR = "query_id long, chunk_id long, distance double"
-
-
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = V.L2, collect: int = COLLECT) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the *k* nearest vectors of every one of *queries* (query_id, vector).
 

@@ -186,12 +186,18 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.batch_knn(v, v.withColumnRenamed("chunk_id", "query_id"), 10).select("query_id", "chunk_id", F.round("distance", 5).alias("distance"), "rank")
 
 
+#: Of the cells: the test vectors have no clusters.
+ANN_SHARE = 0.75
+
+
 @query()
 def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate: the nearest cells only. Its recall is held against the exact search in the tests."""
+    """Approximate: of every vector whose id is divisible by 20 the ten nearest in its nearest cells, against all
+    vectors. Its recall is held against the exact search in the tests."""
     v = vectors(spark, sf_dir)
     cells = ann.centroids(v)
-    return search.ranked(ann.probe(ann.assigned(v, cells), cells, first_vector(spark, sf_dir), 20)).select("chunk_id", *_six("distance"), "rank")
+    asked = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    return ann.batch_probe(ann.assigned(v, cells), cells, asked, 10, ANN_SHARE).select("query_id", "chunk_id", F.round("distance", 5).alias("distance"), "rank")
 
 
 _NEW_VECTORS = "fresh AS (SELECT vec_id + 1 AS chunk_id, list_reverse(embedding) AS vector FROM embeddings WHERE label = 3 UNION ALL SELECT vec_id + 1000001, embedding FROM embeddings WHERE label = 4)"

@@ -8,7 +8,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import embedding, search, state
+from lodestrata.operators import ann, embedding, search, state
 from lodestrata.plans import seams
 from lodestrata.plans import store as store_module
 from lodestrata.plans.engine import Engine, IndexFailure, IndexOptions
@@ -161,6 +161,16 @@ def test_a_splitter_and_a_searcher_of_ones_own(spark, tmp_path, corpus):
     assert [r["title"] for r in engine.search("anything").collect()] == ["whole.go"]
 
 
+def test_approximate_search_behind_the_engine(engine, corpus, tmp_path):
+    engine.index(str(corpus))
+    exact = [tuple(r) for r in engine.search("refund of payment").collect()]
+    engine.searcher = ann.IvfSearcher(engine.spark, str(tmp_path / "ivf"), share=1.0)
+    engine.searcher.build(engine.store.vectors())
+    assert [tuple(r) for r in engine.search("refund of payment").collect()] == exact
+    engine.searcher = ann.IvfSearcher(engine.spark, str(tmp_path / "ivf"), share=0.5)  # opened again
+    assert engine.search("refund of payment").first()["text"] == exact[0][8]
+
+
 def test_sqlite_behind_the_engine(spark, tmp_path, corpus):
     connect = partial(sqlite3.connect, str(tmp_path / "store.db"), timeout=60)
     engine = Engine(relational.RelationalStore(spark, connect, str(tmp_path / "stage")), embedding.EmbeddingModel("hash", 512, lambda title, text: F.concat(title, F.lit(" "), text)), embedding.HashingEmbedder(512))

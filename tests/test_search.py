@@ -1,9 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import vectors as V
 from lodestrata.operators import ann, embedding, search
+from lodestrata.plans import catalog
 
 SF = "/root/testdata/sf0.01"
 
@@ -71,25 +73,64 @@ def test_results_do_not_hang_on_partitions(spark, vectors):
     assert len(seen) == 1
 
 
-def test_ann_recall(spark, vectors):
-    cells = ann.centroids(vectors)
-    index = ann.assigned(vectors, cells).cache()
-    rows = vectors.toPandas()
-    v = np.array(rows["vector"].tolist())
-    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-    found = 0
-    for i in range(0, 40):
-        want = set(rows["chunk_id"][np.argsort(-(v @ v[i]), kind="stable")[:10]])
-        found += len(want & {r["chunk_id"] for r in ann.probe(index, cells, list(map(float, v[i])), 10).collect()})
-    assert found / 400 >= 0.9
-
-
-def test_ann_index_is_partitioned(spark, vectors, tmp_path):
-    cells = ann.build(vectors, str(tmp_path / "ivf"), 4)
+def test_knn_of_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.0, 1.0])], "chunk_id long, vector array<float>")
+    assert [r["chunk_id"] for r in search.knn(rows, [1.0, 0.1], 9).collect()] == [1, 5]
+    assert search.knn(rows, [0.0, 0.0], 9, V.COSINE).count() == 0
+    with pytest.raises(ValueError):
+        search.knn(rows, [1.0, 0.1], 9, "manhattan")
+
+
+def test_knn_equals_the_expression(spark, vectors):
+    query = [float(x) for x in vectors.orderBy("chunk_id").first()["vector"]]
+    for metric in (V.L2, V.COSINE):
+        want = vectors.select("chunk_id", V.distance(F.col("vector"), query, metric).alias("d")).orderBy(F.round("d", V.ORDER_DIGITS), "chunk_id").limit(50).collect()
+        got = search.knn(vectors, query, 50, metric).collect()
+        assert [r["chunk_id"] for r in got] == [r["chunk_id"] for r in want]
+        assert np.allclose([r["distance"] for r in got], [r["d"] for r in want], atol=1e-6)
+
+
+def recall(got, v, ids, queries, k=10):
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], set()).add(r["chunk_id"])
+    v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    at = {i: n for n, i in enumerate(ids)}
+    hit = sum(len(found.get(q, set()) & {ids[j] for j in np.argsort(-(v @ v[at[q]]), kind="stable")[:k]}) for q in queries)
+    return hit / (k * len(queries))
+
+
+def test_ann_query_recall(spark):
+    v = catalog.vectors(spark, SF).toPandas()
+    ids = v["chunk_id"].tolist()
+    got = catalog.ann_search(spark, SF)
+    assert recall(got, np.array(v["vector"].tolist(), float), ids, [i for i in ids if i % 20 == 0]) >= 0.9
+
+
+def test_ann_pays_on_clusters(spark, tmp_path):
+    """A quarter of the cells, queries in several blocks, a third of all vectors in one cluster."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(60, 32))
+    which = np.where(rng.random(6000) < 0.33, 0, rng.integers(0, 60, 6000))
+    v = centres[which] + 0.3 * rng.normal(size=(6000, 32))
+    table = spark.createDataFrame(pd.DataFrame({"chunk_id": range(1, 6001), "vector": v.tolist()}), "chunk_id long, vector array<float>")
+    cells = ann.build(table, str(tmp_path / "ivf"))
     index = spark.read.parquet(str(tmp_path / "ivf"))
-    plan = ann.probe(index, cells, [1.0] * 64, 5, 1)._jdf.queryExecution().executedPlan().toString()
+    assert len(cells) == 77 and index.count() == 6000
+    asked = table.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    ids = list(range(1, 6001))
+    for block in (8192, 100):
+        assert recall(ann.batch_probe(index, cells, asked, 10, 0.25, block=block), v, ids, ids[19::20]) >= 0.9
+    one = ann.probe(index, cells, v[0].tolist(), 10)
+    assert one.first()["chunk_id"] == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "cell" in plan.split("PartitionFilters")[1][:60]
-    assert index.count() == vectors.count()
+
+
+def test_ann_of_nothing(spark):
+    none = spark.createDataFrame([], "chunk_id long, vector array<float>")
+    cells = ann.centroids(none)
+    assert ann.batch_probe(ann.assigned(none, cells), cells, none.withColumnRenamed("chunk_id", "query_id"), 3).count() == 0
 
 
 def test_templates(spark):
