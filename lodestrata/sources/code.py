@@ -10,6 +10,7 @@ are one section.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 BRACE = frozenset(".go .js .ts .jsx .tsx .java .php .rs .c .h .cpp .hpp .cs .sh".split())
 INDENT = frozenset([".py"])
@@ -50,6 +51,16 @@ def blanked(source: str, extension: str) -> str:
     return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S) if pattern else source
 
 
+class LineIndex:
+    """Lines of a text by offset, from 0."""
+
+    def __init__(self, text: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+
+    def line(self, offset: int) -> int:
+        return bisect_right(self.starts, offset) - 1
+
+
 def _closing(text: str, at: int) -> int:
     """Offset after the parenthesis that closes the one at *at*; -1 if none does."""
     depth = 0
@@ -68,10 +79,8 @@ def brace_marks(text: str, extension: str) -> list[tuple[int, list[str]]]:
     marks: list[tuple[int, list[str]]] = []
     classes: list[tuple[str, int]] = []
     depth, pending, body, entering = 0, "", None, False  # body: depth of the function around, if any
-    line, seen = 0, 0
+    index = LineIndex(text)
     for m in _EVENT.finditer(text):
-        line += text.count("\n", seen, m.start())
-        seen = m.start()
         if m["open"]:
             depth += 1
             if pending:
@@ -107,19 +116,19 @@ def brace_marks(text: str, extension: str) -> list[tuple[int, list[str]]]:
                 if not (_BEFORE.search(before) or start and (classes or extension == ".sh")) or before.rstrip().endswith((" new", "return", "=")):
                     continue
             at = m.start("func") if m["func"] else m.start("call")
-            marks.append((line + text.count("\n", seen, at), [c for c, _ in classes] + [f"{name}()"]))
+            marks.append((index.line(at), [c for c, _ in classes] + [f"{name}()"]))
             entering = True
     return marks
 
 
 def indent_marks(text: str) -> list[tuple[int, list[str]]]:
     """(line, path) of classes and functions, nested by smaller indentation."""
-    marks, stack = [], []
+    marks, stack, index = [], [], LineIndex(text)
     for m in _DEF.finditer(text):
         indent = len(m[0]) - len(m[0].lstrip(" \t"))
         title = f"class {m['name']}" if m["kind"] == "class" else f"{m['name']}()"
         stack = [s for s in stack if s[0] < indent]
-        marks.append((text.count("\n", 0, m.start("kind")), [t for _, t in stack] + [title]))
+        marks.append((index.line(m.start("kind")), [t for _, t in stack] + [title]))
         stack.append((indent, title))
     return marks
 
