@@ -6,8 +6,8 @@ documents, give components. Members that are then outside their head's component
 are held against those inside it, unless their distances to the head, which are
 known, differ by more than a link allows: one minus the (weighted) Jaccard
 similarity is a metric, so no link is lost by that. What is still outside is a
-smaller bucket with a head of its own in the next round. After ROUNDS of them,
-which only buckets of many unlike documents reach, the rest are held against each
+smaller bucket, with a head of its own, of the next round. What is outside in the last of ROUNDS,
+which only buckets of many unlike documents reach, is held against each
 other. Any two documents that share a band and reach the threshold so end in one
 component.
 
@@ -64,7 +64,7 @@ def linked(sketch: DataFrame, bags_of: Callable[[DataFrame], DataFrame], verify,
     ids = star.select("a").unionByName(star.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("id"))
     bag = written(bags_of(ids), "bags")
     label = equal.select("id", F.col("rep").alias("label")).unionByName(equal.select(F.col("rep").alias("id"), F.col("rep").alias("label")).distinct())
-    label = written(label.groupBy("id").agg(F.min("label").alias("label")), "labels")
+    label = label.groupBy("id").agg(F.min("label").alias("label"))
     scored = None
 
     def score(pairs: DataFrame) -> bool:
@@ -77,7 +77,7 @@ def linked(sketch: DataFrame, bags_of: Callable[[DataFrame], DataFrame], verify,
         if links.isEmpty():
             return False
         old = label.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
-        label = written(components(links.unionByName(old)), "labels")
+        label = components(links.unionByName(old))
         return True
 
     def outsiders(active: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,13 +105,12 @@ def linked(sketch: DataFrame, bags_of: Callable[[DataFrame], DataFrame], verify,
         outside = written(outside, "outside")
         if outside.isEmpty():
             break
-        score(near(outside, inside.join(outside.select("key").distinct(), "key", "left_semi")))
-        # What was outside, also where it has joined the head's component since, is now a bucket, if not all in it are in one component.
-        now = outside.drop("label").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        if not left:
-            score(near(now, now))
-            break
-        head = now.groupBy("key").agg(F.min("id").alias("a"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key", "a")
-        held = written(outside.join(head, "key").where("id <> a").select("key", "a", F.col("id").alias("b")), "members")
-        score(held.select("a", "b").distinct())
+        pairs = near(outside, inside.join(outside.select("key").distinct(), "key", "left_semi"))
+        if left:
+            head = outside.groupBy("key").agg(F.min("id").alias("a"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key", "a")
+            held = written(outside.join(head, "key").where("id <> a").select("key", "a", F.col("id").alias("b")), "members")
+            pairs = pairs.unionByName(held.select("a", "b"))
+        else:
+            pairs = pairs.unionByName(near(outside, outside))
+        score(pairs.distinct())
     return Links(equal, scored.where(F.col("jaccard") >= threshold), label)

@@ -46,13 +46,14 @@ def components(edges: DataFrame) -> DataFrame:
     edge changed. Up to DRIVER_EDGES edges the driver does the same in arrays.
     Loops, nulls and repeated edges don't matter; an empty table gives none.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    if now.count() <= DRIVER_EDGES:
-        got, spark = now.toArrow(), now.sparkSession
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    got = edges.limit(DRIVER_EDGES + 1).toArrow()
+    if got.num_rows <= DRIVER_EDGES:
         ids, label = labels(got.column("u").to_numpy(), got.column("v").to_numpy())
         kind = got.schema.field("u").type
         found = pa.table({"id": pa.array(ids.tolist(), kind), "label": pa.array(label.tolist(), kind)})
-        return spark.createDataFrame(found, schema=now.select(F.col("u").alias("id"), F.col("v").alias("label")).schema)
+        return edges.sparkSession.createDataFrame(found, schema=edges.select(F.col("u").alias("id"), F.col("v").alias("label")).schema)
+    now = written(edges.distinct(), "stars")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -67,4 +68,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(seen)
     labelled = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("id"), "label")
-    return labelled.unionByName(labelled.select(F.col("label").alias("id"), "label").distinct())
+    return written(labelled.unionByName(labelled.select(F.col("label").alias("id"), "label").distinct()), "labels")
