@@ -257,7 +257,7 @@ class Model:
         found = tuple(span_features(text, start, end))
         got = self.sums.get(found)
         if got is None:
-            if len(self.sums) > 100_000:
+            if len(self.sums) > 20_000:
                 self.sums.clear()
             got = self.sums[found] = self.weights[[self.names[f] for f in found if f in self.names]].sum(axis=0)
         return got

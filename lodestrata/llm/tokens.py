@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -205,22 +206,31 @@ def pretokens(cls: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
 # ---- merge transducer ------------------------------------------------------
 
 
+#: The rank of no token; the number that stands for 0 in twelve bits; the transitions of a state that has none yet.
+_NOTHING, _ZERO = 1 << 18, 2048
+_NONE: dict[int, int] = {}
+
+
 class Merges:
     """The lazily compiled transducer of a byte-level BPE vocabulary (token bytes to rank)."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= _NOTHING:
+            raise ValueError(f"the vocabulary has ranks above {_NOTHING}")
         self.ranks = ranks
+        self.tokens = {r: t for t, r in ranks.items()}
         #: What begins a longer token.
         self.begins = {t[:i] for t in ranks for i in range(1, len(t))}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Drop the compiled states. A state is (suffix, ends): for the text before each place of the suffix, and
-        for all of it, the last token and the count relative to all, or None where no later token can start."""
-        self.states: list = [(b"", ((b"", 0),))]
+        """Drop the compiled states. A state is the bytes of its ends and its suffix: for the text before each place of
+        the suffix, and for all of it, the last token's rank and the count relative to all in one number, or -1 where no
+        later token can start. A transition is the next state and the change in the count in one number."""
+        self.states = [array("i", [_NOTHING << 12 | _ZERO]).tobytes()]
         self.names = {self.states[0]: 0}
-        self.edges: list[dict[int, tuple[int, int]]] = [{}]
+        self.edges: list[dict[int, int]] = [_NONE]
         self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def merged(self, text: bytes, below: int = 1 << 60) -> list[bytes]:
@@ -270,35 +280,33 @@ class Merges:
             else:
                 before, right = rb + 1, half[0]
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """(next state, change in the token count)."""
-        found = self.edges[state].get(byte)
-        if found is not None:
-            return found
-        suffix, ends = self.states[state]
-        s = suffix + bytes((byte,))
-        n, ranks, begins = len(s), self.ranks, self.begins
+    def step(self, state: int, byte: int) -> int:
+        """The transition."""
+        key = self.states[state]
+        n = (len(key) + 1) // 5  # ends, and bytes of the suffix with the new one
+        ends, s = memoryview(key)[: 4 * n].cast("i"), key[4 * n :] + bytes((byte,))
+        ranks, begins = self.ranks, self.begins
         for k in range(n):
             end = ends[k]
-            if end is not None and (token := s[k:]) in ranks and (not end[0] or self.agree(end[0], token)):
+            if end >= 0 and (token := s[k:]) in ranks and (end >> 12 == _NOTHING or self.agree(self.tokens[end >> 12], token)):
                 break
         else:
             raise ValueError("the vocabulary lacks a single byte")
-        delta = end[1] + 1
-        j, keep = 0, []
+        delta = (end & 4095) - _ZERO + 1
+        j = 0
         while j < n and s[j:] not in begins:
             j += 1
-        for i in range(j, n):
-            end = ends[i]
-            keep.append((end[0], end[1] - delta) if end is not None and s[i:] in begins else None)
-        keep.append((token, 0))
-        new = (s[j:], tuple(keep))
+        keep = [ends[i] - delta if ends[i] >= 0 and s[i:] in begins else -1 for i in range(j, n)]
+        keep.append(ranks[token] << 12 | _ZERO)
+        new = array("i", keep).tobytes() + s[j:]
         name = self.names.get(new)
         if name is None:
             name = self.names[new] = len(self.states)
             self.states.append(new)
-            self.edges.append({})
-        found = self.edges[state][byte] = name, delta
+            self.edges.append(_NONE)
+        if self.edges[state] is _NONE:
+            self.edges[state] = {}
+        found = self.edges[state][byte] = name << 12 | delta + _ZERO
         return found
 
     def run(self, state: int, text: bytes) -> tuple[int, int]:
@@ -308,9 +316,9 @@ class Merges:
             got = edges[state].get(byte)
             if got is None:
                 got = self.step(state, byte)
-            state = got[0]
-            total += got[1]
-        return state, total
+            state = got >> 12
+            total += got & 4095
+        return state, total - _ZERO * len(text)
 
     def count(self, text: bytes) -> int:
         """Tokens of a pre-token; a long one's chunks are looked up in the maps of chunks seen before."""
