@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 #: Bytes of text that the vectorised operators take at a time; it bounds the
 #: memory of a Python worker and never splits a document.
 SLICE_BYTES = 1 << 19
+BATCH = "4m"
 #: Rows up to which a list of ids is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -120,6 +121,14 @@ def text_slices(arr: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[np.nd
         i = j
 
 
+def bounded(df: DataFrame) -> None:
+    """Let Arrow batches to Python hold BATCH bytes at most, in *df*'s session, unless it was given a bound of its own:
+    with many rows of long texts the default of 64 MB is held several times over in the JVM and in each worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) in ("67108864b", "64m", "67108864"):
+        conf.set(key, BATCH)
+
+
 def texts(arr: pa.Array) -> Iterator[str | None]:
     """The texts one by one, so that only one is a Python object at a time."""
     return (x.as_py() for x in arr)

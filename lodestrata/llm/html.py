@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, texts, with_columns
+from .common import bounded, fresh, texts, with_columns
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -163,6 +163,7 @@ def extracted(pages: DataFrame, html_col: str = "html", name: str = "text", rule
         got = [main_text(h, rules) for h in texts(html)]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())], names=["text", "blocks", "good"])
 
+    bounded(pages)
     held = fresh(pages, "__extracted")
     got = pages.withColumn(held, extract.asNondeterministic()(F.col(f"`{html_col}`")))
     new = {name: "text", "n_blocks": "blocks", "n_good": "good"}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import linked
-from .common import few, fresh, id_kind, id_of, lower_text, text_slices, written
+from .common import bounded, few, fresh, id_kind, id_of, lower_text, text_slices, written
 from .vec import U, _GOLD, bags, mix, shingles, words
 
 SHINGLE = 2
@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Groups are the connected components of the links that buckets.linked() finds;
     any two documents that share a band and reach the threshold are in one.
     """
+    bounded(docs)
     kind = id_kind(docs, id_col)
     texts = docs.select(id_of(docs, id_col).alias("id"), lower_text(text_col).alias("text")).where("id is not null")
     sketch = written(texts.mapInArrow(_sketches(shingle, bands, rows), f"id {kind}, same bigint, keys array<bigint>"), "sketches")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_kind, id_of, text_slices, with_columns
+from .common import bounded, fresh, id_kind, id_of, text_slices, with_columns
 from .vec import U, WORD, bags, doc_of, run_hashes, runs
 
 STEM = 4
@@ -199,6 +199,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
     """Fit on at most *per_grade* labelled documents of each grade."""
+    bounded(docs)
     kind = id_kind(docs, id_col)
     chosen = F.broadcast(sample(graded(labels, kind), per_grade, GRADES, "grade"))  # 3 * per_grade rows at most
     texts = docs.select(id_of(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id")
@@ -227,6 +228,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", grade: int = G
         tails = np.concatenate(parts) if parts else np.zeros((0, GRADES - 1))
         return pa.StructArray.from_arrays([pa.array(tails.sum(axis=1)), pa.array(tails[:, grade - 1])], names=["expected", "tail"])
 
+    bounded(docs)
     held = fresh(docs, "__score")
     both = docs.withColumn(held, score.asNondeterministic()(F.col(f"`{text_col}`")))
     return with_columns(both, {names[0]: F.col(held)["expected"], names[1]: F.col(held)["tail"]}, drop=[held])

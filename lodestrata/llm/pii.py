@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, texts, with_columns
+from .common import bounded, fresh, texts, with_columns
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 #: All patterns but that of addresses end well before it: the longest IBAN in groups has 17 atoms.
@@ -401,6 +401,7 @@ def redacted(docs: DataFrame, text_col: str = "text", entities_name: str | None
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
         return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(all_found, kind)], names=["text", "entities"])
 
+    bounded(docs)
     held = fresh(docs, "__pii")
     text = F.col(f"`{text_col}`")
     # Only texts with a digit or an at sign leave the JVM.

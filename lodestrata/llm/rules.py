@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, id_kind, id_of, text_slices, with_columns
+from .common import bounded, fresh, id_kind, id_of, text_slices, with_columns
 from .ordinal import sample
 from .vec import VISIBLE, bags, run_hashes, runs, doc_of
 
@@ -194,6 +194,7 @@ def _statistics(text: pa.Array) -> pa.Array:
 
 def with_statistics(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
     """*docs* with the statistics of each text as a struct."""
+    bounded(docs)
     return with_columns(docs, {name: _statistics.asNondeterministic()(F.col(f"`{text_col}`"))})
 
 

@@ -53,7 +53,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_kind, id_of, text_slices
+from .common import bounded, id_kind, id_of, text_slices
 from .vec import runs
 
 #: Kinds that rest on an assignment, not on structure.
@@ -333,5 +333,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, kind, basis): a row for each secret, never its value."""
+    bounded(docs)
     slim = docs.select(id_of(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text <> ''")
     return slim.mapInArrow(_scan, f"doc_id {id_kind(docs, id_col)}, start long, end long, kind string, basis string")

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_slices, with_columns
+from .common import bounded, fresh, text_slices, with_columns
 from .vec import run_hashes
 
 #: Where the public vocabularies lie; a parameter of every query.
@@ -439,6 +439,7 @@ def _counts(path: str):
 
 def with_counts(docs: DataFrame, text_col: str = "text", name: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """*docs* with the tokens of each text as *name*; the vocabulary's file must be there on every executor."""
+    bounded(docs)
     held = fresh(docs, "__tokens")
     got = docs.withColumn(held, _counts(vocabulary)(F.col(f"`{text_col}`")))
     return with_columns(got, {name: F.col(held)}, drop=[held])
