@@ -9,7 +9,8 @@ similarity is a metric, so no link is lost by that. What is still outside is a
 smaller bucket, with a head of its own, of the next round. What is outside in the last of ROUNDS,
 which only buckets of many unlike documents reach, is held against each
 other. Any two documents that share a band and reach the threshold so end in one
-component.
+component. Two members of one component needn't have been held against each other:
+whoever wants every link has to look inside the components (fingerprints.class_links()).
 
 No bucket is gathered into a row or a task: heads are aggregated before the
 shuffle, and members are joined to them, which adaptive execution splits where
@@ -36,8 +37,9 @@ STEPS = 4
 
 class Links(NamedTuple):
     equal: DataFrame  # (rep, id): id has the same content as rep, the smallest id that has it
-    pairs: DataFrame  # (a, b, jaccard), a < b: verified links between such smallest ids
+    pairs: DataFrame  # (a, b, jaccard), a < b: links between such smallest ids that were verified on the way, not all there are
     labels: DataFrame  # (id, label) of every document with a link or an equal
+    bags: DataFrame  # (id, bag) of the smallest ids that share a band with another
 
 
 def similar(pairs: DataFrame, bag: DataFrame, verify, kind: str) -> DataFrame:
@@ -113,4 +115,4 @@ def linked(sketch: DataFrame, bags_of: Callable[[DataFrame], DataFrame], verify,
         else:
             pairs = pairs.unionByName(near(outside, outside))
         score(pairs.distinct())
-    return Links(equal, scored.where(F.col("jaccard") >= threshold), label)
+    return Links(equal, scored.where(F.col("jaccard") >= threshold), label, bag)

@@ -8,10 +8,11 @@ sets decides.
 
 The result has a row for each document: its class, which is the connected
 component of the links (buckets.linked()) and named by its smallest id; the
-smallest id with the same set; with how many other sets a link was verified; and the
-highest similarity to another document found. A class of k near copies so gives k
-rows, not k*k/2 pairs, and any two documents that share a band and reach the
-threshold are in one class.
+smallest id with the same set; with how many other sets it is linked; and the
+highest similarity to another document. Any two documents that share a band and
+reach the threshold are in one class, so both figures are counted inside the classes,
+where every two sets are compared, whether they share a band or not (class_links()).
+A class of k near copies gives k rows, not k*k/2 pairs, though as many are compared.
 
 Defined results: a null or wordless text has no fingerprint and is a class of
 its own. Rows with a null id take no part. Rows that repeat an id are one document,
@@ -22,6 +23,7 @@ returned as strings. An empty table gives none; other input columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,14 @@ BANDS = 36  # finds a pair at the threshold with 0.902
 ROWS = 4
 THRESHOLD = 0.5
 PRIME = (1 << 31) - 1
+#: Sets and their bytes in a block of a class, on average at most; two blocks are compared at a time.
+BLOCK_SETS = 1024
+BLOCK_BYTES = 1 << 21
+#: Elements in so many of the sets compared are counted by matrix product, SLAB at a time.
+OFTEN = 16
+SLAB = 1024
+#: Rows of results that a worker gathers before it hands them on.
+GATHERED = 4096
 
 
 def permutations(m: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +128,82 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], names=["a", "b", "jaccard"])
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """(len(xs), len(ys)) of the numbers of elements in common; the sets are arrays without repeats."""
+    n, sets = len(xs), [*xs, *ys]
+    doc, element = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    order = np.argsort(element, kind="stable")
+    doc, element = doc[order], element[order]
+    count = np.diff(np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1], [True]])))
+    common = np.zeros(n * len(ys), np.int64)
+    rare = np.repeat(count < OFTEN, count)
+    e, d = element[rare], doc[rare]
+    for step in range(1, count[count < OFTEN].max(initial=1)):
+        hit = (e[step:] == e[:-step]) & (d[:-step] < n) & (d[step:] >= n)
+        common += np.bincount(d[:-step][hit] * len(ys) + d[step:][hit] - n, minlength=len(common))
+    common = common.reshape(n, len(ys))
+    d, count = doc[~rare], count[count >= OFTEN]
+    column, ends = np.repeat(np.arange(len(count)), count), np.append(0, np.cumsum(count))
+    for at in range(0, len(count), SLAB):
+        some = slice(ends[at], ends[min(at + SLAB, len(count))])
+        held = np.zeros((len(sets), SLAB), np.float32)
+        held[d[some], column[some] - at] = 1
+        common += (held[:n] @ held[n:].T).astype(np.int64)
+    return common
+
+
+def _compared(threshold: float, kind: str):
+    """Batches (label, i, j, block, id, bag), in order of the first three, to (id, links, jaccard) within each two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gathered(rows: list) -> pa.RecordBatch:
+            ids, links, best = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64() if kind == "bigint" else pa.string()), pa.array(links, pa.int64()), pa.array(best, pa.float64())], names=["id", "links", "jaccard"])
+
+        rows, out = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns[:5]), batch.column(5))), []
+        for (_, i, j), unit in groupby(rows, lambda r: r[:3]):
+            sides = {i: ([], []), j: ([], [])}
+            for *_, block, id_, bag in unit:
+                sides[block][0].append(id_)
+                sides[block][1].append(np.frombuffer(bag.as_buffer(), np.uint32))
+            (x_ids, xs), (y_ids, ys) = sides[i], sides[j]
+            if not xs or not ys:
+                continue
+            common = overlaps(xs, ys)
+            sizes = [np.array([len(s) for s in side]) for side in (xs, ys)]
+            alike = common / (sizes[0][:, None] + sizes[1] - common)
+            if i == j:
+                np.fill_diagonal(alike, -1)
+            for ids, axis in ((x_ids, 1), (y_ids, 0))[: 1 if i == j else 2]:
+                links, best = (alike >= threshold).sum(axis=axis), alike.max(axis=axis)
+                out += [(ids[k], links[k], best[k]) for k in np.flatnonzero(links)]
+            if len(out) >= GATHERED:
+                yield gathered(out)
+                out = []
+        if out:
+            yield gathered(out)
+
+    return run
+
+
+def class_links(labels: DataFrame, bag: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(id, links, jaccard): with how many other sets in *bag* (id, bag) of its class each set is linked, and the highest similarity.
+
+    Every two sets of a class in *labels* (id, label) are compared. A large class
+    is cut into blocks by a hash of the id, and each two blocks are a unit of their own,
+    so no class is gathered; pairs are counted where they are compared, and never written.
+    """
+    sized = written(bag.select("id", F.length("bag").alias("bytes")).join(labels, "id"), "sized")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    classes = sized.groupBy("label").agg(F.count("*").alias("sets"), blocks.alias("blocks")).where("sets > 1").drop("sets")
+    placed = written(sized.join(classes, "label").select("id", "label", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "placed")
+    units = bag.join(few(placed, placed.count()), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "bag")
+    units = units.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    found = units.mapInArrow(_compared(threshold, kind), f"id {kind}, links bigint, jaccard double")
+    return found.groupBy("id").agg(F.sum("links").alias("links"), F.max("jaccard").alias("jaccard"))
+
+
 def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, copy_of, links, jaccard) of every document; jaccard is null where it is alone."""
     bounded(docs)
@@ -130,8 +216,7 @@ def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return some.mapInArrow(_set_bytes(shingle), f"id {kind}, bag binary").groupBy("id").agg(F.max("bag").alias("bag"))
 
     found = linked(sketch, bags_of, _verify, threshold, kind)
-    ends = found.pairs.select(F.col("a").alias("id"), "jaccard").unionByName(found.pairs.select(F.col("b").alias("id"), "jaccard"))
-    degree = ends.groupBy("id").agg(F.count("*").alias("links"), F.max("jaccard").alias("jaccard"))
+    degree = class_links(found.labels, found.bags, threshold, kind)
     # Rows with an equal: each copy with the links of the smallest id, and that id itself.
     copies = found.equal.select("id", "rep").unionByName(found.equal.select(F.col("rep").alias("id"), "rep").distinct()).groupBy("id").agg(F.min("rep").alias("copy_of"))
     of = found.labels.join(copies, "id", "left").withColumn("key", F.coalesce("copy_of", "id"))

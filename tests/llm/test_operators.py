@@ -443,15 +443,48 @@ def test_fingerprints_against_all_pairs(spark):
 
 
 def test_classes_grow_with_the_documents(spark):
-    rng, counts = random.Random(12), []
+    rng = random.Random(12)
     words = [f"w{i}" for i in range(500)]
     first = [rng.choice(words) for _ in range(80)]
     for n in (100, 400):
         texts = [" ".join(rng.choice(words) if rng.random() < 0.05 else w for w in first) for _ in range(n)]
         got = fingerprints.fingerprint_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
         assert len(got) == n and sum(r["class_id"] == 0 for r in got) >= 0.95 * n
-        counts.append(sum(r["links"] for r in got))
-    assert counts[1] < 12 * counts[0]
+        sets = {frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for t in texts)}
+        pairs = sum(len(a & b) / len(a | b) >= fingerprints.THRESHOLD for a, b in itertools.combinations(sets, 2))
+        # Only a set that shares no band with any of its class, and so is outside it, can miss links.
+        assert 0.99 * 2 * pairs <= sum(r["links"] for r in got if r["copy_of"] == r["doc_id"]) <= 2 * pairs
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_links_of_near_copies_are_all_counted(spark, monkeypatch, block):
+    """One class of near copies, most pairs of which are inside their head's component at once; ids as numbers and as strings."""
+    monkeypatch.setattr(fingerprints, "BLOCK_SETS", block)
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(500)]
+    first = [rng.choice(words) for _ in range(80)]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.04 else w for w in first) for _ in range(40)]
+    texts += [texts[3], texts[3].upper(), "alone and like no other text"]
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in (t.lower().split() for t in texts)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for table in (docs, docs.withColumn("doc_id", F.format_string("d%02d", "doc_id"))):
+        got = {int(str(r["doc_id"]).lstrip("d")): r for r in fingerprints.fingerprint_classes(table).collect()}
+        assert len(got) == len(texts) and len({r["class_id"] for r in got.values()}) == 2
+        for i, r in got.items():
+            near = {s: alike(sets[i], s) for s in sets if s != sets[i] and alike(sets[i], s) >= fingerprints.THRESHOLD}
+            assert r["links"] == len(near)
+            assert r["jaccard"] == (1.0 if i in (3, 40, 41) else max(near.values(), default=None))
+    assert 1000 < sum(r["links"] for r in got.values()) < 42 * 39
+
+
+@pytest.mark.parametrize("n, most", [(2, 50), (40, 50), (40, 3000), (90, 300)])
+def test_overlaps_of_sets(n, most):
+    rng = np.random.default_rng(n + most)
+    xs, ys = ([np.sort(rng.choice(most, rng.integers(0, 50), replace=False)).astype(np.uint32) for _ in range(k)] for k in (n, n + 3))
+    want = [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+    assert fingerprints.overlaps(xs, ys).tolist() == want
+    assert fingerprints.overlaps(xs, xs).diagonal().tolist() == [len(x) for x in xs]
 
 
 @pytest.mark.parametrize("n, rounds", [(300, 6), (300, 1), (20_000, 3)])
