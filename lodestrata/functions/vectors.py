@@ -33,6 +33,18 @@ def normalized(a: Column) -> Column:
     return let(whole, lambda v: let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
+def rounded(a: Column, digits: int) -> Column:
+    """The elements to a number of digits, half away from zero; what rounds to zero keeps its sign, as in SQL engines that
+    round doubles (Spark goes through a decimal, which has no negative zero)."""
+    scale = F.lit(10.0**digits)
+
+    def one(x: Column) -> Column:
+        r = F.round(x * scale) / scale
+        return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+    return F.transform(a, one)
+
+
 def distance(a: Column, query: Sequence[float], metric: str = L2) -> Column:
     """Of the vectors to one query: Euclidean between unit vectors (0 to 2), or one minus the cosine (0 to 2).
 

@@ -99,7 +99,7 @@ _six = lambda *c: [F.round(x, 6).alias(x) for x in c]
 
 @query(f"SELECT vec_id AS chunk_id, {sql.each(sql.unit('embedding'), lambda x: f'round({x}, 6)')} AS vector FROM embeddings")
 def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.transform(V.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("vector"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), V.rounded(V.normalized(F.col("embedding")), 6).alias("vector"))
 
 
 def _knn(metric: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -32,6 +33,14 @@ def test_knn_axes(spark):
         V.distance(F.col("vector"), [1.0], "manhattan")
 
 
+def test_rounding_keeps_the_sign_of_zero(spark):
+    values = [-4e-7, 4e-7, -0.0, 0.0, -0.5000005, 0.1234565, 0.25, float("nan"), None]
+    made = spark.createDataFrame([(values,), (None,)], "v array<double>").select(V.rounded(F.col("v"), 6)).collect()
+    assert repr(made[0][0][:4]) == "[-0.0, 0.0, -0.0, 0.0]" and made[1][0] is None
+    want = duckdb.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, 6))", [values]).fetchone()[0]
+    assert repr(made[0][0]) == repr(want)
+
+
 def hits(spark, *scores):
     rows = [(i + 1, d, s) for i, (d, s) in enumerate(scores)]
     return spark.createDataFrame(rows, "chunk_id long, document_id long, chunk_score double").withColumn("rank", F.col("chunk_id").cast("int"))
