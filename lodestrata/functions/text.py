@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as a regex class body that Java and RE2 both read.
 WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters one by one, for the functions that trim without a pattern.
+WS_CHARACTERS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Characters of a token on average.
 AVERAGE_TOKEN = 4
 MINIFIED_LINE = 5000
@@ -23,21 +25,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim(c: Column) -> Column:
-    """Without white space of any script at both ends."""
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+    """Without white space of any script at both ends. Only the ends are looked at: as a pattern it would test every character."""
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def trim_blank_lines(c: Column) -> Column:
     """Without blank lines at both ends; the indentation of the others stays."""
-    cut = F.regexp_replace(F.regexp_replace(c, rf"\n[{WS}]*\z", ""), rf"^[{WS}]*\n", "")
-    return F.when(trim(c) == "", "").otherwise(cut)
+    left, right = F.ltrim(c, F.lit(WS_CHARACTERS)), F.rtrim(c, F.lit(WS_CHARACTERS))
+    indent = F.substring_index(F.left(c, F.length(c) - F.length(left)), "\n", -1)
+    rest = F.substring_index(F.right(c, F.length(c) - F.length(right)), "\n", 1)
+    return F.when(left == "", "").otherwise(F.concat(indent, trim(c), rest))
 
 
 def normalize_text(c: Column) -> Column:
     """One byte-order mark less, line feeds only, at most one blank line in a row, none at the ends."""
-    c = F.regexp_replace(c, r"^\x{FEFF}", "")
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    return let(F.regexp_replace(c, r"\n{3,}", "\n\n"), trim_blank_lines)
+    c = let(c, lambda v: F.when(F.startswith(v, F.lit("\ufeff")), F.right(v, F.length(v) - 1)).otherwise(v))
+    c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    c = let(c, lambda v: F.when(F.contains(v, F.lit("\n\n\n")), F.regexp_replace(v, r"\n{3,}", "\n\n")).otherwise(v))
+    return let(c, trim_blank_lines)
 
 
 def token_count(c: Column, average: int = AVERAGE_TOKEN) -> Column:
@@ -136,12 +141,12 @@ def leading_indent(line: Column) -> Column:
 
 
 def is_minified(c: Column) -> Column:
-    return F.exists(lines(c), lambda x: F.length(x) > MINIFIED_LINE)
+    return (F.length(c) > MINIFIED_LINE) & F.exists(lines(c), lambda x: F.length(x) > MINIFIED_LINE)
 
 
 def is_generated(c: Column) -> Column:
     """Whether one of the first lines holds a generator's banner."""
-    return F.exists(F.slice(lines(c), 1, BANNER_LINES), lambda x: F.lower(x).rlike(BANNERS))
+    return F.substring_index(c, "\n", BANNER_LINES).rlike(f"(?i){BANNERS}")
 
 
 def has_minified_name(path: Column) -> Column:

@@ -67,7 +67,7 @@ def source_text(content: Column) -> Column:
 
 def kept_code(source: Column) -> Column:
     """A source, or null where it is minified or generated."""
-    return F.when(~T.is_minified(source) & ~T.is_generated(source), source)
+    return T.let(source, lambda s: F.when(~T.is_minified(s) & ~T.is_generated(s), s))
 
 
 Extractor = Callable[[bytes], list[tuple[str, float, float, float, int]]]

@@ -55,3 +55,12 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan(catalog.cap_chunks(spark, SF))
     assert "PushedFilters: [IsNotNull(label), EqualTo(label,5)]" in plan(catalog.vector_delete(spark, SF))
     assert "Exchange" not in plan(catalog.chunk_plain_text(spark, SF))
+
+
+def test_steps_run_once(spark):
+    """Code is cut once, not again for a filter; trimming tests no pattern on whole texts; runs are shuffled once and joined with nothing."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    code = plan(catalog.code_sections(spark, SF))
+    assert code.count("ArrowEvalPython") == 1 and code.count("regexp_replace") < 10
+    pages = plan(catalog.pdf_sections(spark, SF))
+    assert "Join" not in pages and pages.count("Exchange hashpartitioning") == 2  # the other is of the query's own running heads
