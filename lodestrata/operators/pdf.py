@@ -33,8 +33,9 @@ def strip_repeats(rows: DataFrame) -> DataFrame:
     """Without lines that stand at the same height with the same text more than once, where a document has several pages."""
     doc = Window.partitionBy("document_id")
     same = Window.partitionBy("document_id", F.round("top"), F.lower("text"))
-    counted = rows.withColumn("__pages", F.size(F.collect_set("page").over(doc))).withColumn("__repeats", F.count("*").over(same))
-    return counted.where("__pages < 2 or __repeats < 2").drop("__pages", "__repeats")
+    several = F.coalesce(F.min("page").over(doc) < F.max("page").over(doc), F.lit(False))
+    counted = rows.withColumn("__several", several).withColumn("__repeats", F.count("*").over(same))
+    return counted.where("not __several or __repeats < 2").drop("__several", "__repeats")
 
 
 def body_font(rows: DataFrame) -> DataFrame:
@@ -52,16 +53,28 @@ def heading_levels(rows: DataFrame) -> DataFrame:
     return big.select("document_id", "size", F.dense_rank().over(doc.orderBy(F.desc("size"))).alias("level"))
 
 
+def _leveled(rows: DataFrame) -> DataFrame:
+    """*rows* with the level of each as in heading_levels(), null for body text, by windows instead of a join."""
+    doc = Window.partitionBy("document_id")
+    sized = rows.withColumn("__size", T.round_font(F.col("font_size")))
+    same = Window.partitionBy("document_id", "__size")
+    sized = sized.withColumn("__weight", F.sum(F.length("text")).over(same)).withColumn("__largest", F.max("font_size").over(same))
+    body = -F.max(F.struct("__weight", (-F.col("__size")).alias("size"))).over(doc)["size"]
+    big = sized.withColumn("__body", body).withColumn("__big", (F.col("__size") > F.col("__body")) & (F.col("__largest") >= F.col("__body") * HEADING_RATIO))
+    level = F.dense_rank().over(doc.orderBy(F.desc("__big"), F.desc("__size")))
+    return big.withColumn("level", F.when(F.col("__big"), level)).drop("__size", "__weight", "__largest", "__body", "__big")
+
+
 def sections(runs: DataFrame) -> DataFrame:
-    """(document_id, section, path, body) in reading order."""
-    kept = strip_repeats(lines(runs))
-    levels = heading_levels(kept).withColumnRenamed("size", "__size")
+    """(document_id, section, path, body) in reading order. The runs are shuffled once, by document, and read once."""
+    placed = _leveled(strip_repeats(lines(runs.repartition("document_id"))))
     order = Window.partitionBy("document_id").orderBy("page", F.desc("top"), "left", "seq")
-    level = kept.join(levels, (kept["document_id"] == levels["document_id"]) & (T.round_font(F.col("font_size")) == F.col("__size")), "left").select(kept["*"], "level")
-    placed = level.withColumn("at", F.row_number().over(order)).withColumn("section", F.count("level").over(order))
-    body = placed.where("level is null").groupBy("document_id", "section").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
-    body = body.select("document_id", "section", T.dehyphenate(T.trim(F.array_join(F.transform("parts", lambda p: p["text"]), "\n"))).alias("body"))
-    marks = placed.where("level is not null").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("section", "level", "text"))).alias("marks"))
-    paths = marks.select("document_id", F.posexplode(T.push_headings(F.transform("marks", lambda m: F.struct(m["level"].alias("level"), m["text"].alias("text"))))).alias("i", "path")).select("document_id", (F.col("i") + 1).alias("section"), "path")
-    out = body.where("body <> ''").join(paths, ["document_id", "section"], "left")
-    return out.select("document_id", "section", F.coalesce("path", F.array().cast("array<string>")).alias("path"), "body")
+    placed = placed.withColumn("at", F.row_number().over(order)).withColumn("section", F.count("level").over(order))
+    part, mark = F.when(F.isnull("level"), F.struct("at", "text")), F.when(F.isnotnull("level"), F.struct("level", "text"))
+    each = placed.groupBy("document_id", "section").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.first(mark, ignorenulls=True).alias("mark"))
+    body = T.dehyphenate(T.trim(F.array_join(F.transform("parts", lambda p: p["text"]), "\n")))
+    whole = each.select("document_id", F.struct("section", "mark", body.alias("body")).alias("s")).groupBy("document_id").agg(F.array_sort(F.collect_list("s")).alias("all"))
+    marks = F.transform(F.filter("all", lambda s: s["mark"].isNotNull()), lambda s: s["mark"])
+    paths = whole.select("document_id", "all", T.push_headings(marks).alias("paths")).select("document_id", F.explode("all").alias("s"), "paths")
+    path = F.when(F.col("s.section") > 0, F.get("paths", F.col("s.section").cast("int") - 1))
+    return paths.where("s.body <> ''").select("document_id", "s.section", F.coalesce(path, F.array().cast("array<string>")).alias("path"), "s.body")
