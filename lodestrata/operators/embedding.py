@@ -19,6 +19,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +102,7 @@ def hash_words(words: Column) -> Column:
         for i in range(int(sizes[0]) if n else 0):
             at = order[: int(np.searchsorted(-sizes, -i, side="left"))]
             h[at] = (h[at] ^ raw[offsets[at] + i]) * _FNV
-        counts = [len(x) if x is not None else 0 for x in array.to_pylist()]
-        ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(h.astype(np.int64)))
 
     return fnv(words)
@@ -123,13 +123,11 @@ def hashing_vectors(rows: DataFrame, text: Column, dimensions: int = DIMENSIONS,
 
     @F.arrow_udf("array<float>")
     def counts(hashes: pa.Array) -> pa.Array:
-        lists = hashes.to_pylist()
-        out = np.zeros((len(lists), dimensions), np.float32)
-        for i, h in enumerate(lists):
-            if h:
-                out[i] = np.bincount(np.array(h) % dimensions, minlength=dimensions)
-        ends = np.arange(0, (len(lists) + 1) * dimensions, dimensions, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.reshape(-1)))
+        rows = len(hashes)
+        at = pc.list_parent_indices(hashes).to_numpy(zero_copy_only=False).astype(np.int64) * dimensions
+        out = np.bincount(at + hashes.flatten().to_numpy(zero_copy_only=False) % dimensions, minlength=rows * dimensions)
+        ends = np.arange(0, (rows + 1) * dimensions, dimensions, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.astype(np.float32)))
 
     return rows.withColumn(name, counts(hash_words(words(text))))
 
