@@ -26,6 +26,8 @@ MAX_DOCUMENTS, MAX_CHUNKS = 20, 3
 BLOCK = 1024
 #: Queries up to which a batch search sends them to every vector; beyond it both sides are cut into blocks.
 COLLECT = 8192
+#: Queries of a block at least, where there are cores for more blocks, and at most; vectors of a block at most.
+LEAST_QUERIES, MOST_QUERIES, MOST_VECTORS = 2048, 32768, 131072
 
 
 @dataclass(frozen=True)
@@ -115,78 +117,136 @@ def nested(results: DataFrame) -> DataFrame:
 
 
 def _unit_rows(flat: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows at unit length, whether each was zero)."""
+    """(rows at unit length, whether each was zero). Squares are added one after the other, as SQL does."""
     v = flat.astype(np.float64).reshape(rows, -1)
-    n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    n = np.sqrt(np.add.accumulate(v * v, axis=1)[:, -1:])
     return v / np.where(n == 0, 1, n), n[:, 0] == 0
 
 
-def _top(query_ids: np.ndarray, q: np.ndarray, q_zero: np.ndarray, chunk_ids: np.ndarray, v: np.ndarray, v_zero: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
-    """The k nearest of some vectors to each of some queries: a matrix product, then a partial sort.
-
-    All that tie with the last one stay; the window over all batches decides."""
-    with np.errstate(invalid="ignore"):
-        cos = q @ v.T
-    if metric == V.L2:
-        d = np.sqrt(np.maximum(0, (~v_zero).astype(float)[None, :] + (~q_zero).astype(float)[:, None] - 2 * cos))
-    else:
-        d = np.where(v_zero[None, :] | q_zero[:, None], np.inf, 1 - cos)
-    key = np.round(d, V.ORDER_DIGITS)
-    take = min(k, d.shape[1])
-    edge = np.partition(key, take - 1, axis=1)[:, take - 1]
-    row, at = np.nonzero((key <= edge[:, None]) & np.isfinite(d))
-    return pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(chunk_ids[at]), pa.array(d[row, at])], names=["query_id", "chunk_id", "distance"])
+class _Nearest:
+    """The k nearest so far of each of some queries, among the vectors offered; ties go to the smaller id.
+
+    Scores are a matrix product in single precision; what could be among the nearest, within its error, is computed
+    again in double precision. A score is the cosine, or a half for a zero vector, and falls with the distance."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, q_zero: np.ndarray, k: int, metric: str):
+        self.ids, self.q, self.q_zero, self.k, self.metric = ids, q, q_zero, k, metric
+        self.single = q.astype(np.float32)
+        self.margin = (q.shape[1] + 8) * 1.2e-7 + 1e-8  # of single precision, and of the digits that decide
+        self.least = np.full(len(ids), -np.inf, np.float32)
+        if metric == V.COSINE:
+            self.least[q_zero] = np.nan
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def offer(self, chunk_ids: np.ndarray, v: np.ndarray, v_zero: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Hold vectors against the queries at *rows*, or all."""
+        fit = np.isfinite(v).all(axis=1) & ~(v_zero & (self.metric == V.COSINE))
+        if not fit.all():
+            chunk_ids, v, v_zero = chunk_ids[fit], v[fit], v_zero[fit]
+        rows, single = np.arange(len(self.ids)) if rows is None else rows, v.astype(np.float32)
+        for a in range(0, len(rows), BLOCK):
+            for b in range(0, len(v), BLOCK):
+                cut = slice(b, b + BLOCK)
+                self._hold(rows[a : a + BLOCK], chunk_ids[cut], v[cut], single[cut], v_zero[cut])
+
+    def _hold(self, rows: np.ndarray, chunk_ids: np.ndarray, v: np.ndarray, single: np.ndarray, v_zero: np.ndarray) -> None:
+        score = self.single[rows] @ single.T
+        if v_zero.any():
+            score[:, v_zero] += 0.5
+        near, wide = score >= self.least[rows, None], len(v)
+        if wide > self.k and np.count_nonzero(near) > 4 * self.k * len(rows):
+            self.least[rows] = np.maximum(self.least[rows], np.partition(score, wide - self.k, axis=1)[:, wide - self.k] - 2 * self.margin)
+            near = score >= self.least[rows, None]
+        row, at = np.divmod(np.flatnonzero(near), wide)
+        for a in range(0, len(row), 32768):
+            r, i = rows[row[a : a + 32768]], at[a : a + 32768]
+            cos = np.add.accumulate(self.q[r] * v[i], axis=1)[:, -1]
+            if self.metric == V.L2:
+                d = np.sqrt(np.maximum(0, (~v_zero[i]).astype(float) + (~self.q_zero[r]).astype(float) - 2 * cos))
+            else:
+                d = 1 - cos
+            self.found.append((r, chunk_ids[i], d, np.round(d, V.ORDER_DIGITS)))
+            self.waiting += len(r)
+            if self.waiting > max(2 * self.k * len(self.ids), 65536):
+                self._settle()
+
+    def _settle(self) -> None:
+        if self.waiting:
+            row, chunk, d, key = (np.concatenate(x) for x in zip(*self.found))
+            order = np.lexsort((chunk, key, row))
+            place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            order, place = order[place < self.k], place[place < self.k]
+            self.found, self.waiting = [(row[order], chunk[order], d[order], key[order])], 0
+            last = order[place == self.k - 1]
+            far = key[last] + 10.0**-V.ORDER_DIGITS
+            score = 1 - self.q_zero[row[last]] / 2 - far * far / 2 if self.metric == V.L2 else 1 - far
+            self.least[row[last]] = np.maximum(self.least[row[last]], score - self.margin)
+
+    def batch(self) -> pa.RecordBatch:
+        self._settle()
+        row, chunk, d = self.found[0][:3] if self.found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(chunk), pa.array(d)], names=["query_id", "chunk_id", "distance"])
+
+
+def _some(rows):
+    """A batch or table without the rows of null vectors. Not a filter in Spark, which would make computed vectors twice."""
+    return rows.filter(rows.column("vector").is_valid()) if rows.column("vector").null_count else rows
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return _unit_rows(column.flatten().to_numpy(zero_copy_only=False), rows)
 
 
 def _held_against(ids: np.ndarray, q: np.ndarray, q_zero: np.ndarray, k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        near = _Nearest(ids, q, q_zero, k, metric)
+        for batch in map(_some, batches):
             if batch.num_rows:
-                v, zero = _unit_rows(batch.column("vector").flatten().to_numpy(zero_copy_only=False), batch.num_rows)
-                yield _top(ids, q, q_zero, batch.column("chunk_id").to_numpy(zero_copy_only=False), v, zero, k, metric)
+                near.offer(batch.column("chunk_id").to_numpy(zero_copy_only=False), *_vectors(batch.column("vector"), batch.num_rows))
+        yield near.batch()
 
     return run
 
 
 def _block_pairs(k: int, metric: str):
-    def side(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values = rows.values
-        unit, zero = _unit_rows(values.field("vector").flatten().to_numpy(zero_copy_only=False), len(values))
-        return values.field("id").to_numpy(zero_copy_only=False), unit, zero
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, v in zip(batch.column("q"), batch.column("v")):
-                yield _top(*side(q), *side(v), k, metric)
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not queries.num_rows or not vectors.num_rows or not (queries := _some(queries)).num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        vectors = _some(vectors.select(["chunk_id", "held"]).rename_columns(["chunk_id", "vector"]))
+        near = _Nearest(queries.column("query_id").to_numpy(), *_vectors(queries.column("vector"), queries.num_rows), k, metric)
+        for at in range(0, vectors.num_rows, 16384):
+            some = vectors.slice(at, 16384)
+            near.offer(some.column("chunk_id").to_numpy(), *_vectors(some.column("vector"), some.num_rows))
+        return pa.Table.from_batches([near.batch()])
 
     return run
 
 
-def _blocked(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
-    """*df* as rows of about BLOCK vectors each."""
-    block = F.pmod(F.xxhash64(key), F.lit(-(-rows // BLOCK)))
-    return df.groupBy(block.alias("block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), "vector")).alias(name)).select(name)
-
-
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = V.L2, collect: int = COLLECT) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the *k* nearest vectors of every one of *queries* (query_id, vector).
 
-    Up to *collect* queries go to the vectors in blocks; each batch of vectors
-    hands on only its own k nearest to each query, and a window takes the best of
-    those. Of more queries blocks are made on both sides, and all pairs of blocks
-    are computed where Spark puts them; nothing is collected.
+    Up to *collect* queries go to the vectors, of which each task hands on its own k nearest to each query; a window
+    takes the best of those. Of more queries blocks are made on both sides, and every two blocks are one task's; nothing
+    is collected. A block is bounded, so the vectors are shuffled once for each block of the other side. Null vectors
+    are near to nothing.
     """
+    queries, vectors = queries.select("query_id", "vector"), vectors.select("chunk_id", "vector")
     count = queries.count()
     near = vectors.sparkSession.createDataFrame([], _NEAR)
     if count > collect:
-        total = max(vectors.count(), 1)
-        pairs = _blocked(queries.select("query_id", "vector"), "query_id", count, "q").crossJoin(_blocked(vectors.select("chunk_id", "vector"), "chunk_id", total, "v"))
-        near = pairs.mapInArrow(_block_pairs(k, metric), _NEAR)
+        most = vectors.sparkSession.sparkContext.defaultParallelism
+        across = max(-(-count // MOST_QUERIES), min(most, -(-count // LEAST_QUERIES)))
+        down = max(1, -(-vectors.count() // MOST_VECTORS))
+        block = lambda key, n, name: F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name)
+        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        left = queries.select("query_id", "vector", block("query_id", across, "a"), every(down, "b"))
+        right = vectors.select("chunk_id", F.col("vector").alias("held"), every(across, "a"), block("chunk_id", down, "b"))
+        near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_block_pairs(k, metric), _NEAR)
     elif count:
-        rows = queries.select("query_id", "vector").toPandas()
-        for at in range(0, count, BLOCK):
-            part = rows.iloc[at : at + BLOCK]
-            q, zero = _unit_rows(np.array(part["vector"].tolist()), len(part))
-            near = near.unionByName(vectors.select("chunk_id", "vector").mapInArrow(_held_against(part["query_id"].to_numpy(np.int64), q, zero, k, metric), _NEAR))
+        got = _some(queries.toArrow())
+        near = near if not got.num_rows else vectors.mapInArrow(_held_against(got.column("query_id").to_numpy(), *_vectors(got.column("vector"), got.num_rows), k, metric), _NEAR)
     order = Window.partitionBy("query_id").orderBy(F.round("distance", V.ORDER_DIGITS), "chunk_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

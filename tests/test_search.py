@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,28 @@ def test_batch_equals_single(spark, vectors, metric, collect, monkeypatch):
         assert {(q["query_id"], r["rank"]): (r["chunk_id"], round(r["distance"], 6)) for r in one} == {k: v for k, v in batch.items() if k[0] == q["query_id"]}
 
 
+@pytest.mark.parametrize("collect", [99, 0])
+def test_batch_of_ties_and_nulls(spark, collect):
+    """Equal vectors are kept by id, not all of them; null vectors are near to nothing."""
+    rows = spark.createDataFrame([(i, [1.0, float(i % 2)] if i % 5 else None) for i in range(1, 3001)], "chunk_id long, vector array<float>").repartition(1)
+    asked = rows.where("chunk_id in (5, 11, 12)").withColumnRenamed("chunk_id", "query_id")
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in search.batch_knn(rows, asked, 3, collect=collect).collect()}
+    assert got == {(11, 1): 1, (11, 2): 3, (11, 3): 7, (12, 1): 2, (12, 2): 4, (12, 3): 6}
+
+
+def test_a_task_hands_on_its_nearest(spark, vectors):
+    """Not those of each batch or cell: what is shuffled doesn't grow with the vectors."""
+    ids, v = (np.array(x) for x in zip(*[(r["chunk_id"], r["vector"]) for r in vectors.orderBy("chunk_id").collect()]))
+    unit, zero = search._unit_rows(v, len(v))
+    batches = pa.Table.from_pydict({"chunk_id": ids, "vector": v.astype(np.float32).tolist(), "cell": (ids % 20).astype(np.int32)}).to_batches(max_chunksize=50)
+    probes = np.tile(np.arange(20), (9, 1))
+    want = [[int(i) for i in np.lexsort((ids, np.round(np.sqrt(np.maximum(0, 2 - 2 * unit @ q)), 9)))[:7]] for q in unit[:9]]
+    for run in (search._held_against(ids[:9], unit[:9], zero[:9], 7, V.L2), ann._probed(ids[:9], unit[:9], zero[:9], probes, 7, V.L2)):
+        out = pa.Table.from_batches(run(iter(batches))).to_pandas()
+        assert len(out) == 9 * 7
+        assert [out[out.query_id == i].chunk_id.tolist() for i in ids[:9]] == [[int(ids[j]) for j in w] for w in want]
+
+
 def test_results_do_not_hang_on_partitions(spark, vectors):
     query, seen = list(vectors.where("chunk_id = 5").first()["vector"]), set()
     for n in (1, 4, 37):
