@@ -91,18 +91,23 @@ def probe(index: DataFrame, cells: np.ndarray, query: Sequence[float], k: int, s
 
 
 def _probed(ids: np.ndarray, q: np.ndarray, zero: np.ndarray, near: np.ndarray, k: int, metric: str):
-    """Holds the vectors of each cell in a batch against the queries that probe it."""
+    """Holds the vectors of each cell in a batch against the queries that probe it; a task hands on its k nearest of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = search._Nearest(ids, q, zero, k, metric)
+        by_cell = np.argsort(near, axis=None, kind="stable")
+        cells, asking = near.reshape(-1)[by_cell], by_cell // near.shape[1]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v, v_zero = search._unit_rows(batch.column("vector").flatten().to_numpy(zero_copy_only=False), batch.num_rows)
+            v, v_zero = search._vectors(batch.column("vector"), batch.num_rows)
             chunk, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "cell"))
-            for c in np.unique(cell):
-                rows, asked = np.flatnonzero(cell == c), np.flatnonzero((near == c).any(axis=1))
+            order = np.argsort(cell, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                asked = asking[slice(*np.searchsorted(cells, [cell[rows[0]], cell[rows[0]] + 1]))]
                 if len(asked):
-                    yield search._top(ids[asked], q[asked], zero[asked], chunk[rows], v[rows], v_zero[rows], k, metric)
+                    best.offer(chunk[rows], v[rows], v_zero[rows], asked)
+        yield best.batch()
 
     return run
 
